@@ -10,6 +10,7 @@ that could be hot; the merge fold is again a combining aggregate.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from ledgerloom import fixed_values as V
 from ledgerloom.functions.dates import has_time_of_day
 from ledgerloom.operators.ordered import SPAN, previous_value
+from ledgerloom.session import stage_table
 
 STORED_SEQ = -(1 << 63)
 
@@ -66,12 +68,16 @@ def _status_rank() -> Column:
     )
 
 
+def _is_member() -> Column:
+    return F.col("role").isin("OPEN", "JOIN", "OWN")
+
+
 def _is_rejected() -> Column:
     return _failed() & (F.col("amount_minor") == 0)
 
 
 def tag_rows(rows: DataFrame, store: Store | None = None) -> DataFrame:
-    """Give every accepted row its role and its group key."""
+    """Give every row its role and every accepted row its group key."""
     live = rows.filter(~_is_rejected())
     ids = ["source", "source_identifier"]
 
@@ -80,9 +86,14 @@ def tag_rows(rows: DataFrame, store: Store | None = None) -> DataFrame:
     )
     if store is not None:
         firsts = firsts.join(store.sources.select(*ids), ids, "left_anti")
-    registering = live.join(firsts.select("seq", F.lit(True).alias("_first")), "seq", "left").withColumn(
-        "registers", F.col("source_identifier").isNull() | F.coalesce("_first", F.lit(False))
-    ).drop("_first")
+    registers = F.coalesce("_first", F.lit(False)) | (
+        F.col("source_identifier").isNull() & ~_is_rejected()
+    )
+    registering = (
+        rows.join(firsts.select("seq", F.lit(True).alias("_first")), "seq", "left")
+        .withColumn("registers", registers)
+        .drop("_first")
+    )
 
     groups = registering.filter("registers").select(
         "seq", "fingerprint", _failed().alias("failed"), _sms_id().alias("sms_id")
@@ -127,7 +138,8 @@ def tag_rows(rows: DataFrame, store: Store | None = None) -> DataFrame:
         "+", "fingerprint", F.coalesce("source_identifier", F.col("seq").cast("string"))
     )
     role = (
-        F.when(~F.col("registers"), "REPEAT")
+        F.when(_is_rejected(), "REJECT")
+        .when(~F.col("registers"), "REPEAT")
         .when(F.col("opens"), "OPEN")
         .when(joins, "JOIN")
         .otherwise("OWN")
@@ -141,7 +153,7 @@ def _registered_groups(tagged: DataFrame, store: Store | None) -> DataFrame:
     """(source, source_identifier) → group of the row that registered the id."""
     ids = ["source", "source_identifier"]
     known = tagged.filter(
-        (F.col("role") != "REPEAT") & F.col("source_identifier").isNotNull()
+        _is_member() & F.col("source_identifier").isNotNull()
     ).select(*ids, "group_key")
     if store is None:
         return known
@@ -170,7 +182,7 @@ def _repeat_outcomes(tagged: DataFrame, store: Store | None, span: int) -> DataF
     )
     touched = repeats.select("group_key").distinct()
     events = (
-        tagged.filter((F.col("role") != "REPEAT") & _assigns_flag())
+        tagged.filter(_is_member() & _assigns_flag())
         .select("seq", "group_key", "is_promotional", F.lit(False).alias("is_repeat"))
         .join(touched, "group_key", "left_semi")
         .unionByName(repeats)
@@ -188,12 +200,9 @@ def _repeat_outcomes(tagged: DataFrame, store: Store | None, span: int) -> DataF
     )
 
 
-def outcomes(
-    rows: DataFrame, tagged: DataFrame, store: Store | None = None, span: int = SPAN
-) -> DataFrame:
+def outcomes(tagged: DataFrame, store: Store | None = None, span: int = SPAN) -> DataFrame:
     """CREATED / MERGED / DUPLICATE_SKIPPED / FAILED for every input row."""
     columns = ["seq", "source", "origin_label"]
-    rejected = rows.filter(_is_rejected()).select(*columns, F.lit("FAILED").alias("outcome"))
     created = F.when(_failed(), "FAILED").otherwise("CREATED")
     registered = tagged.filter(F.col("role") != "REPEAT").select(
         *columns, F.when(F.col("role") == "JOIN", "MERGED").otherwise(created).alias("outcome")
@@ -203,13 +212,13 @@ def outcomes(
         .select(*columns)
         .join(_repeat_outcomes(tagged, store, span), "seq")
     )
-    return rejected.unionByName(registered).unionByName(repeated.select(*columns, "outcome"))
+    return registered.unionByName(repeated.select(*columns, "outcome"))
 
 
 def _events(tagged: DataFrame, store: Store | None) -> DataFrame:
     """Everything the fold reads: members, last repeat per id, stored rows."""
     ids = ["source", "source_identifier"]
-    members = tagged.filter(F.col("role") != "REPEAT").select(
+    members = tagged.filter(_is_member()).select(
         "group_key", "seq", F.lit(True).alias("is_member"), F.lit(None).cast("bigint").alias("stored_id"),
         "amount_minor", "currency_code", "type", "txn_ts", *LEDGER_TEXT, "payment_method",
         F.lit(None).cast("bigint").alias("category_id"), F.col("source").alias("primary_source"),
@@ -284,17 +293,25 @@ def fold(events: DataFrame) -> DataFrame:
 
 def provenance(tagged: DataFrame) -> DataFrame:
     """One source row per contributor, linked by fingerprint (no join needed)."""
-    return tagged.filter(F.col("role") != "REPEAT").select(
+    return tagged.filter(_is_member()).select(
         F.col("group_key").alias("fingerprint"), "source", "source_identifier", "origin_label",
         "raw_payload", "seq",
     )
 
 
-def resolve(rows: DataFrame, store: Store | None = None, span: int = SPAN) -> Resolution:
-    """Resolve a batch of normalised rows, optionally against what is stored."""
-    tagged = tag_rows(rows, store)
+def resolve(
+    rows: DataFrame,
+    store: Store | None = None,
+    span: int = SPAN,
+    stage: Callable[[DataFrame, str], DataFrame] = stage_table,
+) -> Resolution:
+    """Resolve a batch of normalised rows, optionally against what is stored.
+
+    The tagged rows feed all three results, so they are written once.
+    """
+    tagged = stage(tag_rows(rows, store), "tagged")
     return Resolution(
-        outcomes=outcomes(rows, tagged, store, span),
+        outcomes=outcomes(tagged, store, span),
         ledger=fold(_events(tagged, store)),
         sources=provenance(tagged),
     )

@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "ledgerloom") -> SparkSession:
@@ -43,3 +43,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = _local_root()
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex[:12]}")
+
+
+def stage_table(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate result once to the shared folder and read it back.
+
+    Jobs that use a result several times then read only the columns and roles they
+    need, and losing an executor costs a re-read instead of a recomputation.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
