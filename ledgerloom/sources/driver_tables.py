@@ -179,3 +179,143 @@ def messages(spark: SparkSession, sf_dir: str, events: DataFrame | None = None)
     return ev.select(
         F.col("event_id").alias("id"), address.alias("address"), body.alias("body"), ts.alias("received_at")
     )
+
+
+def shop_name(key: Column) -> Column:
+    """A merchant name without digits, one per customer key."""
+    return F.concat(F.lit("Shop X"), F.translate(key.cast("string"), "0123456789", "ABCDEFGHIJ"))
+
+
+def _statement_orders(spark: SparkSession, sf_dir: str, prefix: str, suffix: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    priority = F.substring("o_orderpriority", 1, 1)
+    order = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    return orders.select(
+        F.concat(F.lit(prefix), F.lower("o_orderstatus"), priority, F.lit(suffix)).alias("file_name"),
+        (order * 8 + priority.cast("int")).cast("bigint").alias("file_seq"),
+        "o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate",
+        cents(F.col("o_totalprice")).alias("amount"),
+        shop_name(F.col("o_custkey")).alias("shop"),
+        reference_text(F.col("o_orderkey") + 100000000).alias("ref"),
+    )
+
+
+def statement_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifteen statement files; column order, date format and quoting vary by file."""
+    rows = _statement_orders(spark, sf_dir, "stmt-", ".csv")
+    status = F.col("o_orderstatus")
+    ref = F.when(F.col("o_orderpriority") != "1-URGENT", F.col("ref")).otherwise("")
+    plain = F.regexp_replace(grouped_amount(F.col("amount")), ",", "")
+    grouped = grouped_amount(F.col("amount"))
+    line = (
+        F.when(
+            status == "F",
+            F.concat_ws(
+                ",", F.date_format("o_orderdate", "dd/MM/yyyy"), F.concat(F.lit("Paid to "), "shop"), ref,
+                plain, F.lit("DEBIT"),
+            ),
+        )
+        .when(
+            status == "O",
+            F.concat(
+                F.lit('"Received from '), "shop", F.lit('",'), F.date_format("o_orderdate", "yyyy-MM-dd"),
+                F.lit(',"'), grouped, F.lit('",'), ref,
+            ),
+        )
+        .otherwise(
+            F.concat(
+                F.date_format("o_orderdate", "dd MMM yyyy"), F.lit(","), "shop", F.lit(',"'), grouped,
+                F.lit('",0.00,"'), grouped_amount(F.col("amount") + 100000000), F.lit('"'),
+            )
+        )
+    )
+    note = F.when(F.col("o_orderpriority") == "5-LOW", "Disclaimer: computer generated")
+    return rows.select(
+        "file_name", "file_seq",
+        F.posexplode(F.array_compact(F.array(line, note))).alias("at", "line"), "o_orderkey",
+    ).select("file_name", "file_seq", (F.col("o_orderkey") * 2 + F.col("at") + 1).alias("line_no"), "line")
+
+
+def statement_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifteen statement documents as text lines, in four layouts."""
+    rows = _statement_orders(spark, sf_dir, "doc-", ".pdf")
+    status = F.col("o_orderstatus")
+    grouped = grouped_amount(F.col("amount"))
+    slashed, spelled = F.date_format("o_orderdate", "dd/MM/yyyy"), F.date_format("o_orderdate", "dd MMM, yyyy")
+    wrapped = F.array(
+        F.concat(slashed, F.lit(" Paid to "), "shop"), F.concat(F.lit("UPI Ref "), "ref"),
+        F.concat(grouped, F.lit(" DR")),
+    )
+    single = F.array(
+        F.concat(
+            slashed, F.lit(" NEFT "), "shop", F.lit(" "), "ref", F.lit(" "), grouped, F.lit(" 9,000,000.00")
+        ),
+        F.lit("Page 1"),
+    )
+    stacked = F.array(
+        spelled, F.lit("12:59PM"), F.concat(F.lit("Paidto"), "shop"),
+        F.concat(F.lit("UPITransactionID:"), "ref"), F.lit("PaidbyAxisBank2073"),
+        F.concat(F.lit("₹"), grouped),
+    )
+    layout = F.array(
+        F.concat(spelled, F.lit("   Received from "), "shop", F.lit("    ₹"), grouped),
+        F.concat(F.lit("10:05 AM   UPI Transaction ID: "), "ref"), F.lit("   Paid by Axis Bank 2073"),
+    )
+    lines = (
+        F.when(status == "F", wrapped)
+        .when(status == "O", single)
+        .when(F.col("o_orderpriority") == "5-LOW", layout)
+        .otherwise(stacked)
+    )
+    return rows.select("file_name", "file_seq", "o_orderkey", F.posexplode(lines).alias("at", "line")).select(
+        "file_name", "file_seq", (F.col("o_orderkey") * 8 + F.col("at") + 1).alias("line_no"), "line"
+    )
+
+
+def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``parsed`` rows: each order as told by a message, a CSV and a PDF statement, then
+    the message again and a second message; wording, masks and times differ."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    base = orders.join(customer.select("c_custkey", "c_acctbal"), F.col("o_custkey") == F.col("c_custkey"))
+    status, priority, key = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_orderkey")
+    name, tail = shop_name(F.col("o_custkey")), tail_text(F.col("o_custkey"))
+    ref = F.when(priority != "1-URGENT", reference_text(key + 100000000))
+    midnight = F.col("o_orderdate")
+    timed = midnight + F.expr("INTERVAL '15:14' HOUR TO MINUTE")
+    amount = cents(F.col("o_totalprice"))
+    nothing = F.lit(None).cast("string")
+
+    def copy(k, source, identifier, merchant, reference, account, ts, method, bank, parse, promo, minor=amount):
+        return F.struct(
+            (key * 8 + k).alias("seq"), minor.alias("amount_minor"), F.lit("INR").alias("currency_code"),
+            F.when(status == "F", "CREDIT").otherwise("DEBIT").alias("type"), ts.alias("txn_ts"),
+            F.concat(F.lit(source + " "), key).alias("description"), merchant.alias("merchant_name"),
+            reference.alias("reference_number"), account.alias("account_identifier"),
+            bank.alias("bank_name"), F.lit(method).alias("payment_method"), F.lit(source).alias("source"),
+            identifier.alias("source_identifier"),
+            F.concat(F.lit(source.lower() + "-"), F.lower(status)).alias("origin_label"),
+            parse.alias("parse_status"), F.concat(F.lit("raw "), key).alias("raw_payload"),
+            promo.alias("is_promotional"),
+        )
+
+    ok, partial = F.lit("PARSED"), F.when(status == "P", "PARTIALLY_PARSED").otherwise("PARSED")
+    rejected = (status == "F") & (priority == "5-LOW")
+    failed_pdf = (status == "O") & (priority == "3-MEDIUM")
+    message_ref = F.concat(F.lit("UPI Ref: "), ref)
+    told = F.array(
+        copy(0, "SMS", F.concat(F.lit("sms:"), key), F.concat(F.lower(name), F.lit("@icici")), message_ref,
+             F.concat(F.lit("XX"), tail), timed, "UPI", nothing, partial,
+             (status == "P") & (priority == "5-LOW")),
+        copy(1, "CSV", F.concat(F.lit("csv:"), key), F.upper(name), ref, F.concat(F.lit("XXXXXXXX"), tail),
+             midnight, "UNKNOWN", F.lit("HDFC"), F.when(rejected, "FAILED").otherwise(ok), F.lit(False),
+             F.when(rejected, F.lit(0)).otherwise(amount)),
+        copy(2, "PDF", F.when(priority != "2-HIGH", F.concat(F.lit("pdf:"), key)),
+             F.concat(F.lit("UPI/"), name, F.lit("/"), F.coalesce(ref, F.lit("payment"))),
+             F.concat(F.lit("Ref No "), ref), tail, midnight, "UNKNOWN", nothing,
+             F.when(failed_pdf, "FAILED").otherwise(ok), F.lit(False)),
+        copy(3, "SMS", F.concat(F.lit("sms:"), key), F.concat(F.lower(name), F.lit("@icici")), message_ref,
+             F.concat(F.lit("XX"), tail), timed, "UPI", nothing, ok, status == "P"),
+        copy(4, "SMS", F.concat(F.lit("sms:"), key, F.lit("b")), F.concat(F.lower(name), F.lit("@icici")),
+             message_ref, F.concat(F.lit("XX"), tail), timed, "UPI", nothing, ok, F.lit(False)),
+    )
+    return base.select(F.inline(told))
