@@ -36,6 +36,8 @@ DATE_SHAPES = [
     (rf"^({_ANY}) (\d{{1,2}}), (\d{{4}})$", "#$3|$1|$2"),
     (r"^(\d{2})(\d{2})(\d{4})$", "#$3|$2|$1"),
 ]
+# What the start of any accepted date looks like: decides cheaply for other text.
+DATE_HINT = r"^\s*(?:\d{1,2}[/\- ]\S|\d{4}-\d|\d{8}\s*$|[A-Za-z]{3,9} \d)"
 CLOCK = r"^(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?(?: ([AP]M))?$"
 DATE_TIME = (
     r"^(.*?\d),?[ T]\s*(\d{1,2}:\d{1,2}(?::\d{1,2})?(?:\s*[AaPp][Mm])?)"
@@ -68,7 +70,7 @@ def parse_date(text: Column) -> Column:
         return F.when(valid, F.make_date(p["y"], p["m"], F.least(p["d"], last)))
 
     return F.when(
-        text.rlike(r"\d"),
+        text.rlike(DATE_HINT),
         let(
             canonical,
             lambda c: F.when(

@@ -29,18 +29,20 @@ def squeeze(col: Column) -> Column:
     return F.regexp_replace(col, r"\s+", " ")
 
 
-def word_tokens(col: Column) -> Column:
-    """Upper-case alphanumeric words of a text."""
-    spaced = F.upper(F.regexp_replace(col, r"[^\p{L}\p{Nd}]+", " "))
-    return F.filter(F.split(spaced, " "), lambda t: t != "")
+def upper_words(col: Column) -> Column:
+    """Upper-case alphanumeric words of a text, one blank between them."""
+    return F.upper(F.regexp_replace(col, r"[^\p{L}\p{Nd}]+", " "))
 
 
-def _has_digit(token: Column) -> Column:
-    return token.rlike(r"\p{Nd}")
+def _without(words: Column, *alternatives: str) -> Column:
+    """Drop whole words matching any alternative; one pass over the text."""
+    whole = rf"(?<!\S)(?:{'|'.join(alternatives)})(?!\S)"
+    return F.trim(squeeze(F.regexp_replace(words, whole, "")))
 
 
-def _all_digits(token: Column) -> Column:
-    return token.rlike(r"^\p{Nd}+$")
+_TRUSTED = (
+    rf"^(?=.{{{V.REFERENCE_MIN_LENGTH}}})(?=(?:\P{{Nd}}*\p{{Nd}}){{{V.REFERENCE_MIN_DIGITS}}}).*$"
+)
 
 
 def reference(col: Column) -> Column:
@@ -53,37 +55,30 @@ def reference(col: Column) -> Column:
     def choose(words: Column) -> Column:
         longest = F.array_max(
             F.transform(
-                F.filter(words, _has_digit),
+                F.filter(F.split(words, " "), lambda t: t.rlike(r"\p{Nd}")),
                 lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("at"), t.alias("t")),
             )
         )
-        pieces = (F.size(words) > 1) & F.forall(words, _all_digits)
-        return F.when(pieces, F.array_join(words, "")).otherwise(longest["t"])
-
-    def trusted(candidate: Column) -> Column:
-        digits = F.length(F.regexp_replace(candidate, r"\P{Nd}", ""))
-        return F.when(
-            (F.length(candidate) >= V.REFERENCE_MIN_LENGTH) & (digits >= V.REFERENCE_MIN_DIGITS),
-            candidate,
+        pieces = words.rlike(r"^\p{Nd}+(?: \p{Nd}+)*$")
+        return (
+            F.when(pieces, F.translate(words, " ", ""))
+            .when(words.contains(" "), longest["t"])
+            .when(words.rlike(r"\p{Nd}"), words)
         )
 
-    words = F.filter(word_tokens(col), lambda t: ~t.isin(*V.REFERENCE_LABEL_WORDS))
-    return let(let(words, choose), trusted)
+    words = _without(upper_words(col), *V.REFERENCE_LABEL_WORDS)
+    return F.get(F.regexp_extract_all(let(words, choose), F.lit(_TRUSTED), F.lit(0)), 0)
 
 
 def merchant_words(col: Column) -> Column:
     """Words that say who was paid: no plumbing words, no identifiers."""
-    local_part = F.substring_index(col, "@", 1)
-    return F.filter(
-        word_tokens(local_part),
-        lambda t: ~t.isin(*V.MERCHANT_NOISE_WORDS)
-        & ~_all_digits(t)
-        & ~((F.length(t) >= V.MERCHANT_IDENTIFIER_MIN) & _has_digit(t)),
-    )
+    identifier = rf"(?=\S{{{V.MERCHANT_IDENTIFIER_MIN}}})\S*\p{{Nd}}\S*"
+    words = upper_words(F.substring_index(col, "@", 1))
+    return _without(words, *V.MERCHANT_NOISE_WORDS, r"\p{Nd}+", identifier)
 
 
 def merchant_key(col: Column) -> Column:
-    key = F.array_join(merchant_words(col), "")
+    key = F.translate(merchant_words(col), " ", "")
     return F.when(F.length(key) > 0, key)
 
 
@@ -93,8 +88,9 @@ def merchant_name(col: Column) -> Column:
             F.concat(F.substring(t, 1, 1), F.lower(F.substring(t, 2, 1 << 20)))
         )
 
-    tidy = F.array_join(F.transform(merchant_words(col), title), " ")
-    return F.when(F.length(tidy) > 0, tidy).otherwise(blank_to_null(col))
+    words = merchant_words(col)
+    tidy = F.array_join(F.transform(F.split(words, " "), title), " ")
+    return F.when(F.length(words) > 0, tidy).otherwise(blank_to_null(col))
 
 
 def account_tail(col: Column) -> Column:

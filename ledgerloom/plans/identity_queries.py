@@ -84,9 +84,13 @@ _COPIES = with_tables(_BASE)
 _ALL = with_tables(_BASE, _RESOLVED)
 
 
+def _normalised(spark, sf_dir):
+    """Normalised copies, written once: resolving reads them for keys and contents."""
+    return stage_table(normalise(D.copies(spark, sf_dir)), "normalised")
+
+
 def _tagged(spark, sf_dir):
-    rows = normalise(D.copies(spark, sf_dir))
-    return stage_table(resolve.tag_rows(rows), "tagged")
+    return stage_table(resolve.tag_rows(_normalised(spark, sf_dir)), "tagged")
 
 
 @query(
@@ -113,7 +117,7 @@ _MERGED = """m.fingerprint, txn_id, amount_minor, type, CAST(txn_ts AS VARCHAR)
     _ALL + f"SELECT {_MERGED} FROM merged m JOIN current_flag c ON c.gk = m.fingerprint",
 )
 def resolved_ledger(spark, sf_dir):
-    ledger = resolve.resolve(normalise(D.copies(spark, sf_dir))).ledger
+    ledger = resolve.resolve(_normalised(spark, sf_dir)).ledger
     return ledger.select(
         "fingerprint", "txn_id", "amount_minor", "type", "txn_ts", "merchant_name", "reference_number",
         "normalized_reference", "account_tail", "bank_name", "payment_method", "primary_source",
@@ -166,7 +170,7 @@ def import_summary(spark, sf_dir):
 )
 def resolved_months(spark, sf_dir):
     """End to end: parse, resolve, report."""
-    ledger = resolve.resolve(normalise(D.copies(spark, sf_dir))).ledger
+    ledger = resolve.resolve(_normalised(spark, sf_dir)).ledger
     return reports.month_totals(ledger).select("month", "income", "expenses")
 
 
@@ -193,7 +197,7 @@ def reference_fallback(spark, sf_dir):
 def import_history(spark, sf_dir):
     """Ingest into a store, then list its run history."""
     store = S.LedgerStore(spark, shared_dir(spark, "store"))
-    rows = stage_table(normalise(D.copies(spark, sf_dir)), "batch")
+    rows = _normalised(spark, sf_dir)
     result = resolve.resolve(rows, store.state())
     history = resolve.import_summary(
         result.outcomes.withColumnRenamed("origin_label", "file_name"), "file_name", "source"
@@ -211,7 +215,7 @@ def import_history(spark, sf_dir):
 def store_generations(spark, sf_dir):
     """Append, compact and reset a store; transactions visible after each step."""
     store = S.LedgerStore(spark, shared_dir(spark, "store"))
-    rows = stage_table(normalise(D.copies(spark, sf_dir)), "batch")
+    rows = _normalised(spark, sf_dir)
     result = resolve.resolve(rows, store.state())
     history = resolve.import_summary(
         result.outcomes.withColumnRenamed("origin_label", "file_name"), "file_name", "source"

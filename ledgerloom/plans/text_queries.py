@@ -9,6 +9,7 @@ from ledgerloom.functions import dates, money, text
 from ledgerloom.operators import alerts, cells, model, statement_rows, statement_text
 from ledgerloom.plans.oracle_tables import MESSAGES, with_tables
 from ledgerloom.plans.registry import query
+from ledgerloom.session import spread
 from ledgerloom.sources import driver_tables as D
 from ledgerloom.sources import messages as inbox
 
@@ -30,7 +31,7 @@ def norm_reference(spark, sf_dir):
         .when(priority == "4-NOT SPECIFIED", F.concat(F.lit("UTR: IMPS"), ref))
         .otherwise("Ref 12")
     )
-    orders = D.table(spark, sf_dir, "orders")
+    orders = spread(D.table(spark, sf_dir, "orders"))
     return orders.select("o_orderkey", text.reference(printed).alias("reference"))
 
 
@@ -83,7 +84,7 @@ def norm_account(spark, sf_dir):
        CAST(round(o_totalprice) AS BIGINT) AS whole FROM orders""",
 )
 def norm_amount(spark, sf_dir):
-    orders = D.table(spark, sf_dir, "orders")
+    orders = spread(D.table(spark, sf_dir, "orders"))
     minor, priority = D.cents(F.col("o_totalprice")), F.col("o_orderpriority")
     grouped = D.grouped_amount(minor)
     printed = (
@@ -105,7 +106,7 @@ def norm_amount(spark, sf_dir):
        hour(ts) * 3600 + minute(ts) * 60 AS clock FROM events""",
 )
 def norm_date(spark, sf_dir):
-    events, kind, ts = D.table(spark, sf_dir, "events"), F.col("event_type"), F.col("ts")
+    events, kind, ts = spread(D.table(spark, sf_dir, "events")), F.col("event_type"), F.col("ts")
     day = (
         F.when(kind == "click", F.date_format(ts, "d/M/yyyy"))
         .when(kind == "view", F.date_format(ts, "dd-MM-yy"))
@@ -352,7 +353,7 @@ def statement_text_query(spark, sf_dir):
 def wallet_layout(spark, sf_dir):
     lines = D.statement_text_lines(spark, sf_dir)
     numbered = statement_text.number_entries(lines)
-    matches = statement_text.wallet_matches(numbered, statement_text.wallet_files(lines))
+    matches = statement_text.wallet_matches(numbered, statement_text.wallet_files(numbered))
     return statement_text.wallet_rows(matches).select(*_TEXT_COLUMNS)
 
 
@@ -367,7 +368,7 @@ def wallet_layout(spark, sf_dir):
 def statement_blocks(spark, sf_dir):
     lines = D.statement_text_lines(spark, sf_dir)
     numbered = statement_text.number_entries(lines)
-    blocks = statement_text.dated_blocks(numbered, statement_text.wallet_files(lines))
+    blocks = statement_text.dated_blocks(numbered, statement_text.wallet_files(numbered))
     return blocks.select("file_name", "block_no", "body")
 
 

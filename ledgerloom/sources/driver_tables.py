@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -136,7 +138,7 @@ def transaction_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Alert messages rendered from the event table, one per event."""
-    ev = table(spark, sf_dir, "events") if events is None else events
+    ev = spread(table(spark, sf_dir, "events")) if events is None else events
     amount = cents(F.col("value"), 3700)
     kind, user, ts = F.col("event_type"), F.col("user_id"), F.col("ts")
     printed = grouped_amount(amount)
@@ -187,7 +189,7 @@ def shop_name(key: Column) -> Column:
 
 
 def _statement_orders(spark: SparkSession, sf_dir: str, prefix: str, suffix: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     priority = F.substring("o_orderpriority", 1, 1)
     order = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
     return orders.select(
@@ -275,7 +277,7 @@ def statement_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``parsed`` rows: each order as told by a message, a CSV and a PDF statement, then
     the message again and a second message; wording, masks and times differ."""
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    orders, customer = spread(table(spark, sf_dir, "orders")), table(spark, sf_dir, "customer")
     base = orders.join(customer.select("c_custkey", "c_acctbal"), F.col("o_custkey") == F.col("c_custkey"))
     status, priority, key = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_orderkey")
     name, tail = shop_name(F.col("o_custkey")), tail_text(F.col("o_custkey"))

@@ -10,7 +10,7 @@ from ledgerloom import fixed_values as V
 from ledgerloom.operators import alerts, reports, resolve
 from ledgerloom.operators.normalise import normalise
 from ledgerloom.schemas import BATCH_COLUMNS
-from ledgerloom.session import stage_table
+from ledgerloom.session import spread, stage_table
 from ledgerloom.sources.store import LedgerStore
 
 
@@ -51,15 +51,16 @@ def start_ingest(
     committed, so a crash at any point neither loses nor doubles a message. A full
     rescan is the same call with a new checkpoint.
     """
-    parsed = alerts.extract(messages, zone)
-    counted = parsed.observe(
-        "scan", F.count("*").alias("parsed"), F.count_if("is_promotional").alias("promotional")
-    )
+    scanned = messages.observe("scan", F.count("*").alias("scanned"), F.max("id").alias("newest_id"))
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        ingest(store, alerts.extract(spread(batch), zone), checkpoint, epoch)
+
     return (
-        counted.writeStream.queryName("ledger-ingest")
+        scanned.writeStream.queryName("ledger-ingest")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(lambda batch, epoch: ingest(store, batch, checkpoint, epoch) and None)
+        .foreachBatch(sink)
         .start()
     )
 
