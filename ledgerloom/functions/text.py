@@ -15,9 +15,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+# Fixed value: the characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    " \t\n\u000b\f\r\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004"
+    "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(col: Column) -> Column:
     """Trim every kind of white space at both ends."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.btrim(col, F.lit(WHITE_SPACE))
 
 
 def blank_to_null(col: Column) -> Column:
@@ -77,20 +84,30 @@ def merchant_words(col: Column) -> Column:
     return _without(words, *V.MERCHANT_NOISE_WORDS, r"\p{Nd}+", identifier)
 
 
-def merchant_key(col: Column) -> Column:
-    key = F.translate(merchant_words(col), " ", "")
+def key_of(words: Column) -> Column:
+    """Comparison key out of merchant words."""
+    key = F.translate(words, " ", "")
     return F.when(F.length(key) > 0, key)
 
 
-def merchant_name(col: Column) -> Column:
+def name_of(words: Column, raw: Column) -> Column:
+    """Readable name out of merchant words; the raw text when none are left."""
+
     def title(t: Column) -> Column:
         return F.when(F.length(t) <= V.MERCHANT_ACRONYM_MAX, t).otherwise(
             F.concat(F.substring(t, 1, 1), F.lower(F.substring(t, 2, 1 << 20)))
         )
 
-    words = merchant_words(col)
     tidy = F.array_join(F.transform(F.split(words, " "), title), " ")
-    return F.when(F.length(words) > 0, tidy).otherwise(blank_to_null(col))
+    return F.when(F.length(words) > 0, tidy).otherwise(blank_to_null(raw))
+
+
+def merchant_key(col: Column) -> Column:
+    return key_of(merchant_words(col))
+
+
+def merchant_name(col: Column) -> Column:
+    return name_of(merchant_words(col), col)
 
 
 def account_tail(col: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import fingerprint as fp
 from ledgerloom.functions import text
+from ledgerloom.operators.once import with_once
 
 
 def normalise(parsed: DataFrame) -> DataFrame:
@@ -15,13 +16,15 @@ def normalise(parsed: DataFrame) -> DataFrame:
     Amounts become positive (direction lives in ``type``), accounts keep four digits,
     and raw text survives only where parsing was incomplete.
     """
-    derived = parsed.withColumns(
+    words = F.col("merchant_words")
+    derived = with_once(
+        parsed,
         {
             "normalized_reference": text.reference(F.col("reference_number")),
-            "merchant_key": text.merchant_key(F.col("merchant_name")),
+            "merchant_words": text.merchant_words(F.col("merchant_name")),
             "account_tail": text.account_tail(F.col("account_identifier")),
-        }
-    )
+        },
+    ).withColumn("merchant_key", text.key_of(words))
     identity = fp.fingerprint(
         *[
             F.col(c)
@@ -38,7 +41,7 @@ def normalise(parsed: DataFrame) -> DataFrame:
         "type",
         "txn_ts",
         text.blank_to_null(F.col("description")).alias("description"),
-        text.merchant_name(F.col("merchant_name")).alias("merchant_name"),
+        text.name_of(words, F.col("merchant_name")).alias("merchant_name"),
         text.blank_to_null(F.col("reference_number")).alias("reference_number"),
         "normalized_reference",
         "merchant_key",
