@@ -8,8 +8,6 @@ span. The result equals the plain window's.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,33 +16,36 @@ SPAN = 1 << 20
 
 
 def _span(order: str, span: int) -> Column:
-    return F.floor(F.col(order) / F.lit(span)).cast("bigint")
-
+    return F.expr(f"`{order}` div {span}L")
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[f"__{k}"]) for k in keys))
 
+def _keyed(rows: DataFrame, keys: list[str], order: str, span: int) -> tuple[DataFrame, list[str]]:
+    """Add the span and never-null copies of the keys.
 
-def _carry_in(spans: DataFrame, keys: list[str]) -> DataFrame:
-    for key in [*keys, "_span"]:
-        spans = spans.withColumnRenamed(key, f"__{key}")
-    return spans
+    Plain equality on them lets the join with the carried values reuse the window's
+    partitioning; NULL stays a group of its own.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    added = {
+        name: F.coalesce(F.col(key).cast("string"), F.lit("\u0000"))
+        for name, key in zip(names, keys, strict=True)
+    }
+    return rows.withColumns({**added, "_span": _span(order, span)}), names
 
 
 def running_totals(
     rows: DataFrame, keys: list[str], order: str, totals: dict[str, Column], span: int = SPAN
 ) -> DataFrame:
     """Inclusive running sums of integer expressions per group."""
-    marked = rows.withColumns({**totals, "_span": _span(order, span)})
-    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(*keys, "_span").orderBy(order)
-    spans = marked.groupBy(*keys, "_span").agg(*[F.sum(n).alias(n) for n in totals])
+    marked, names = _keyed(rows.withColumns(totals), keys, order, span)
+    before = Window.partitionBy(*names).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*names, "_span").orderBy(order)
+    spans = marked.groupBy(*names, "_span").agg(*[F.sum(n).alias(n) for n in totals])
     carried = spans.select(
-        *keys, "_span", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_c_{n}") for n in totals]
+        *names, "_span", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_c_{n}") for n in totals]
     )
     local = marked.withColumns({n: F.sum(n).over(inside) for n in totals})
-    carried = _carry_in(carried, keys)
-    joined = local.join(carried, _same(local, carried, [*keys, "_span"]), "left")
+    joined = local.join(carried, [*names, "_span"], "left")
     sums = {n: (F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0))).cast("bigint") for n in totals}
     return joined.withColumns(sums).select(*rows.columns, *totals)
 
@@ -53,14 +54,14 @@ def previous_value(
     rows: DataFrame, keys: list[str], order: str, value: str, name: str, span: int = SPAN
 ) -> DataFrame:
     """``lag(value)`` per group."""
-    marked = rows.withColumn("_span", _span(order, span))
-    last = marked.groupBy(*keys, "_span").agg(F.max_by(value, order).alias("_last"))
-    across = Window.partitionBy(*keys).orderBy("_span")
-    carried = _carry_in(last.withColumn("_c", F.lag("_last").over(across)).drop("_last"), keys)
-    inside = Window.partitionBy(*keys, "_span").orderBy(order)
+    marked, names = _keyed(rows, keys, order, span)
+    last = marked.groupBy(*names, "_span").agg(F.max_by(value, order).alias("_last"))
+    across = Window.partitionBy(*names).orderBy("_span")
+    carried = last.withColumn("_c", F.lag("_last").over(across)).drop("_last")
+    inside = Window.partitionBy(*names, "_span").orderBy(order)
     local = marked.withColumn("_lag", F.lag(value).over(inside)).withColumn(
         "_n", F.row_number().over(inside)
     )
-    joined = local.join(carried, _same(local, carried, [*keys, "_span"]), "left")
+    joined = local.join(carried, [*names, "_span"], "left")
     out = F.when(F.col("_n") == 1, F.col("_c")).otherwise(F.col("_lag"))
     return joined.withColumn(name, out).select(*rows.columns, name)

@@ -22,8 +22,19 @@ def _day() -> Column:
 
 
 def _position() -> Column:
-    """Time order with the id as tie break."""
-    return F.struct("txn_ts", "txn_id")
+    """Time order with the id as tie break, as one number.
+
+    A struct would order the same way, but its minimum cannot live in a hash
+    aggregation buffer: every report would sort the ledger before combining it.
+    """
+    ts = F.col("txn_ts")
+    day_start = F.unix_date(ts.cast("date")).cast("bigint") * 86400
+    seconds = day_start + F.hour(ts) * 3600 + F.minute(ts) * 60
+    micros = seconds * 1000000 + (F.extract(F.lit("SECOND"), ts) * 1000000).cast("bigint")
+    return (
+        micros.cast("decimal(18,0)") * F.lit(str(10**19)).cast("decimal(20,0)")
+        + F.col("txn_id").cast("decimal(19,0)")
+    ).cast("decimal(38,0)")
 
 
 def counts_toward_totals() -> Column:
