@@ -1,0 +1,517 @@
+"""Corpus operators against brute force on small tables with awkward rows."""
+
+import hashlib
+import itertools
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import (
+    chat_format,
+    components,
+    decontaminate,
+    embedding_dedup,
+    language_id,
+    mixing,
+    ngram_join,
+    quality_rules,
+    ring_sharding,
+    secret_scan,
+    suffix_dedup,
+)
+
+WORDS = "al be co du er fi go ha in jo ka lu mi no or pa qu ri so tu".split()
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice(WORDS, rng.integers(1, 4))) for _ in range(n))
+
+
+def edited(rng, text, n):
+    words = text.split(" ")
+    for k in rng.integers(0, len(words), n):
+        words[k] = "x" + words[k]
+    return " ".join(words)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = np.random.default_rng(3)
+    out = [None, "", " \n\t ", "one", "Two words", "two  WORDS", "É é", "🙂 🙂 🙂 🙂 🙂", "a" * 900, "ab " * 700]
+    bases = [prose(rng, 60), prose(rng, 150), prose(rng, 25)]
+    for base in bases:
+        out += [base, base, base.upper(), base.replace(" ", "\n")]
+        out += [edited(rng, base, k) for k in (1, 1, 2, 2, 3, 5, 9)]
+    passage = prose(rng, 90)
+    out += [prose(rng, 20) + " " + passage + " " + prose(rng, 30) for _ in range(12)]
+    out += [prose(rng, n) for n in (5, 40, 3000)]
+    out.append(out[-1] + " " + passage + " " + passage)
+    return out
+
+
+def documents(spark, texts, extra=("1 AS n", "2 AS rid", "'x' AS shard", "3 AS tok")):
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [rows[12], rows[0]]
+    return spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *extra)
+
+
+def roots(n, links):
+    up = list(range(n))
+
+    def find(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return [find(a) for a in range(n)]
+
+
+def test_components(spark):
+    rng = np.random.default_rng(1)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))] + [(100 + k, 101 + k) for k in range(40)]
+    want = roots(200, links)
+    got = components.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r["node"]: r["component"] for r in got} == {
+        n: want[n] for link in links if link[0] != link[1] for n in link
+    }
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("width,threshold", [(4, Fraction(85, 100)), (5, Fraction(8, 10))])
+def test_ngram_join(spark, texts, width, threshold):
+    docs = documents(spark, texts)
+    rows = docs.select("doc_id", "text").collect()
+
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+    sets = [shingles(r["text"]) for r in rows]
+    links = [
+        (i, j)
+        for i, j in itertools.combinations(range(len(rows)), 2)
+        if sets[i] and sets[j] and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j])
+    ]
+    group = roots(len(rows), links)
+    low = {g: min(rows[k]["doc_id"] for k in range(len(rows)) if group[k] == g) for g in set(group)}
+    want = Counter((r["doc_id"], len(s), low[g]) for r, s, g in zip(rows, sets, group, strict=True))
+    found = ngram_join.jaccard_components(docs, width, threshold).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == want
+    if width == 5:
+        kept = [r["doc_id"] for r in ngram_join.one_per_component(docs).collect()]
+        assert sorted(kept) == sorted(set(low.values()))
+
+
+def test_ngram_join_many_near_copies(spark):
+    """A large group of near copies with a chain of links and a frequent line."""
+    rng = np.random.default_rng(8)
+    base, line = prose(rng, 60), prose(rng, 12)
+    texts = [edited(rng, base, int(rng.integers(0, 7))) for _ in range(120)]
+    texts += [line + " " + prose(rng, int(rng.integers(4, 40))) for _ in range(150)]
+    test_ngram_join(spark, texts, 4, Fraction(85, 100))
+
+
+def test_ngram_join_empty_and_null_ids(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert ngram_join.jaccard_components(empty).count() == 0
+    rows = spark.createDataFrame([(None, "a b c d e f"), (None, "q r s t u"), (3, "A b c d e f")], empty.schema)
+    found = Counter(map(tuple, ngram_join.jaccard_components(rows).collect()))
+    assert found == Counter([(None, 3, 3), (None, 2, None), (3, 3, 3)])
+
+
+def vectors():
+    rng = np.random.default_rng(5)
+    rows, label = [], 0
+    for label in (1, 2):
+        seeds = rng.normal(size=(12, 24))
+        for k in range(150):
+            v = seeds[k % 12] + rng.normal(size=24) * rng.choice([0, 0.02, 0.1, 0.2, 0.3])
+            rows.append((len(rows), [float(x) for x in v.astype(np.float32)], label))
+    rows += [(900, None, 1), (901, [], 1), (902, [0.0] * 24, 1), (903, [None] + [1.0] * 23, 1)]
+    rows += [(904, [float("nan")] * 24, 1), (905, [float("inf")] * 24, 1), (906, rows[0][1], None)]
+    rows += [(907, [1e30] * 24, 1), (908, [2e30] * 24, 1), (909, [1e-30] * 24, 1), (910, [1.0] * 5, 1)]
+    return rows + [rows[3], rows[3]]
+
+
+@pytest.mark.parametrize("tile", [1024, 16])
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embedding_dedup(spark, tile, kind):
+    rows = vectors()
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int").selectExpr(
+        "*", "1 AS size", "2 AS rep", "'k' AS mark"
+    )
+    unit = []
+    for _, v, label in rows:
+        good = v and label is not None and None not in v and np.isfinite(v).all() and np.any(v)
+        v = np.array(v, np.float32 if kind == "float" else np.float64).astype(float) if good else None
+        unit.append((v / np.abs(v).max(), label) if good else None)
+    links = []
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        a, b = unit[i], unit[j]
+        if a and b and a[1] == b[1] and len(a[0]) == len(b[0]):
+            if a[0] @ b[0] / math.sqrt((a[0] @ a[0]) * (b[0] @ b[0])) >= 0.98:
+                links.append((i, j))
+    group = roots(len(rows), links + [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if rows[i][0] == rows[j][0]])
+    count = Counter(k for link in links for k in link)
+    low = {g: min(rows[k][0] for k in range(len(rows)) if group[k] == g) for g in group}
+    want = Counter((rows[k][0], count[k], low[group[k]], low[group[k]] == rows[k][0]) for k in range(len(rows)))
+    got = embedding_dedup.near_dedup(df, tile_rows=tile).collect()
+    assert Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == want
+    assert embedding_dedup.near_dedup(df.limit(0)).count() == 0
+
+
+def test_mix_targets():
+    goal = mixing.targets([("b", 100), ("a", 100), (None, 100), ("c", 1)])
+    assert goal["c"] == 3.0 and sum(goal.values()) == pytest.approx(301)
+    assert goal["a"] / goal["b"] == pytest.approx(2.5)
+    assert mixing.targets([("a", 0), ("b", 0)]) == {"a": 0.0, "b": 0.0}
+    assert mixing.targets([]) == {}
+
+
+def test_mix(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 7)
+    rng = np.random.default_rng(2)
+    rows = [
+        (k, ["hot", "b", None, "é", "tiny"][min(4, int(rng.integers(0, 60)) // 12 if k % 3 else 0)], int(rng.integers(0, 400)))
+        for k in range(400)
+    ]
+    rows += [(7000, "none", 0), (None, "b", 30), rows[5], rows[5], (7001, "b", None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long").selectExpr(
+        "*", "1.0 + coalesce(doc_id, 0) % 3 AS weight", "'c' AS taken", "0 AS target"
+    )
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows) and Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(df).collect()))
+    sizes = Counter()
+    for _, s, n in rows:
+        sizes[s] += n or 0
+    goal = mixing.targets(list(sizes.items()))
+    taken, largest = Counter(), Counter()
+    for r in got:
+        assert r["target"] == goal[r["source"]] and r["source_size"] == sizes[r["source"]]
+        assert r["taken"] in (r["size"] * r["epochs"], r["size"] * (r["epochs"] + 1)) and r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+    assert all(abs(taken[s] - goal[s]) <= largest[s] / 2 + 1e-6 for s in goal)
+    # the order of the keys decides who is chosen
+    for source in goal:
+        mine = sorted(
+            (
+                -math.log((int(hashlib.md5(f"mix:{'' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52)
+                / float(r["weight"]), -1 if r["doc_id"] is None else r["doc_id"], r["size"], r["chosen"],
+            )
+            for r in got if r["source"] == source
+        )
+        flags = [m[3] for m in mine if m[2]]
+        assert flags == sorted(flags, reverse=True)
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_mixed_documents(spark):
+    rows = [(k, f"w{k} " * (k % 7), f"s{k % 3}", "en") for k in range(60)] + [(61, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns
+    found = Counter(r["doc_id"] for r in got.collect())
+    sized = docs.selectExpr("doc_id", "source", f"coalesce(regexp_count(text, '{mixing.word_count.__name__ and '[^ ]+'}'), 0) AS size")
+    sized = sized.join(docs.select("doc_id", mixing.quality_weight(F.col("text")).alias("weight")), "doc_id")
+    want = {r["doc_id"]: r["epochs"] + int(r["chosen"]) for r in mixing.mix(sized).collect()}
+    assert found == Counter({k: v for k, v in want.items() if v})
+
+
+def test_ring_sharding(spark, texts):
+    rows = [(int(i), f"t{i % 50}") for i in range(500)] + [(None, None), (None, "x"), (3, "t3"), (3, "t3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'a' AS shard", "1 AS _arc")
+    docs = docs.drop("_arc")
+    for shards in (24, 5):
+        got = ring_sharding.assign(docs, shards).collect()
+        assert len(got) == len(rows)
+        # One key after another, each to the first node clockwise with room.
+        spots = ring_sharding.ring(shards)
+        place = lambda r: int(hashlib.md5(("" if r[0] is None else str(r[0])).encode()).hexdigest()[:15], 16)
+        arcs = defaultdict(list)
+        for r in rows:
+            home = next((k for k, (p, _) in enumerate(spots) if p > place(r)), 0)
+            arcs[home].append(r)
+        free = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+        home_of, waiting, hop = {}, [(a, len(v)) for a, v in sorted(arcs.items())], 0
+        count = Counter()
+        while waiting:
+            still = []
+            for a, n in waiting:
+                shard = spots[(a + hop) % len(spots)][1]
+                k = min(n, free[shard])
+                free[shard] -= k
+                count[(a, shard)] += k
+                if n > k:
+                    still.append((a, n - k))
+            waiting, hop = still, hop + 1
+        found = Counter()
+        for r in got:
+            home = next((k for k, (p, _) in enumerate(spots) if p > place(r)), 0)
+            found[(home, r["shard"])] += 1
+        assert found == +count
+        for s in range(shards):
+            slots = sorted(r["slot"] for r in got if r["shard"] == s)
+            assert slots == list(range(len(slots))) and len(slots) - len(rows) // shards in (0, 1)
+    assert ring_sharding.assign(docs.limit(0)).count() == 0
+    manifest = {(r["doc_id"], r["size"], r["text_crc32"]) for r in ring_sharding.manifest(documents(spark, texts)).collect()}
+    assert manifest == {(i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in enumerate(texts)}
+
+
+def brute_removed(datas, width):
+    seen = Counter(d[i : i + width] for d in datas for i in range(len(d) - width + 1))
+    out = []
+    for d in datas:
+        gone = np.zeros(len(d), bool)
+        for i in range(len(d) - width + 1):
+            if seen[d[i : i + width]] > 1:
+                gone[i : i + width] = True
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize("shard", [4096, 6])
+def test_suffix_dedup(spark, texts, shard):
+    rng = np.random.default_rng(4)
+    passage = prose(rng, 110)
+    more = [prose(rng, 10) + f" {k} " + passage[k * 3 :] + prose(rng, 5 + k) for k in range(30)]
+    half = prose(rng, 70)
+    more += [half + half, half + "z" * 150 + half, passage[:300] + "#" + passage[300:], "é" * 450, "x" + "é" * 300]
+    docs = documents(spark, [*texts, *more])
+    rows = docs.select("doc_id", "text").collect()
+    datas = [(r["text"] or "").encode() for r in rows]
+    want = Counter()
+    for r, d, gone in zip(rows, datas, brute_removed(datas, 400), strict=True):
+        kept = bytes(np.frombuffer(d, np.uint8)[~gone]) if d else b""
+        spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
+        want[(r["doc_id"], len(d), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())] += 1
+    got = suffix_dedup.remove_repeats(docs, shard_contexts=shard).drop("kept").collect()
+    assert Counter(map(tuple, got)) == want
+    assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_suffix_array_and_prefixes():
+    rng = np.random.default_rng(6)
+    data = b"".join([bytes(rng.integers(97, 99, 300).astype(np.uint8)), b"abc" * 80, b"abc" * 90, b"q" * 100])
+    text = np.frombuffer(data, np.uint8)
+    order = suffix_dedup.suffix_array(text, len(text))
+    assert [data[i:] for i in order] == sorted(data[i:] for i in range(len(data)))
+    starts = np.array([0, 300, 540, len(data)])
+    lcp = suffix_dedup.common_prefixes(text, order, starts, 50)
+    for a, b in zip(order, order[1:], strict=False):
+        same = next((k for k in range(50) if data[a + k : a + k + 1] != data[b + k : b + k + 1] or a + k >= len(data)), 50)
+        assert lcp[b] == same
+
+
+def test_anchor_segments(monkeypatch):
+    rng = np.random.default_rng(9)
+    data = bytes(rng.integers(97, 101, 5000).astype(np.uint8))
+    whole = suffix_dedup.anchors(data, 400)
+    monkeypatch.setattr(suffix_dedup, "_STEP", 700)
+    for x, y in zip(whole, suffix_dedup.anchors(data, 400), strict=True):
+        assert (x == y).all()
+
+
+def test_chat_format(spark):
+    said = "\\### Assistant: </turn> ok"
+    rng = np.random.default_rng(7)
+    rows = [(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 0, None, None), (1, 1, "assistant", None)]
+    rows += [(2, k, "assistant" if k % 2 else "us\ner<turn>", str(rng.choice(["a\\", "<turn>x", "é🙂", "\\n\n", ""])) * 3) for k in range(75)]
+    rows += [(3, 1, "assistant", "b"), (3, 1, "assistant", "b"), (3, None, "user", "\ue000"), (None, 0, "assistant", "q")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS start", "2 AS piece")
+    turns = chat_format.format_turns(df)
+    got = {r["conv_id"]: r for r in chat_format.digests(turns).collect()}
+    by = defaultdict(list)
+    first = lambda x: (x is not None, x)
+    for r in sorted(rows, key=lambda r: (first(r[0]), first(r[1]), first(r[2]), first(r[3]))):
+        by[r[0]].append((r[2] or "", r[3] or ""))
+    assert set(got) == set(by)
+    for conv, said_ in by.items():
+        loss = "".join(t for role, t in said_ if role == "assistant")
+        r = got[conv]
+        assert r["n_turns"] == len(said_) and r["loss_chars"] == len(loss)
+        assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in said_).encode()).hexdigest()
+        assert r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+        whole = chat_format.render(said_)
+        assert r["formatted_chars"] == len(whole) and chat_format.parse(whole) == said_
+        mine = sorted((t for t in turns.collect() if t["conv_id"] == conv), key=lambda t: t["ordinal"])
+        for t in mine:
+            assert whole[t["start"] : t["stop"]] == t["piece"] and not t["rewrites"]
+    assert chat_format.digests(chat_format.format_turns(df.limit(0))).count() == 0
+
+
+def test_chat_template_that_rewrites(spark):
+    def last_only(turns):
+        return "BOS " + "".join(f"[{r}] {t if k == len(turns) - 1 else t[:1]}\n" for k, (r, t) in enumerate(turns))
+
+    df = spark.createDataFrame([(1, 0, "user", "hello"), (1, 1, "assistant", "world")], "conv_id long, turn long, role string, text string")
+    flags = [r["rewrites"] for r in chat_format.format_turns(df, last_only).orderBy("ordinal").collect()]
+    assert flags == [False, True]
+
+
+def test_language_id(spark):
+    rng = np.random.default_rng(10)
+    kinds = {"xx": "ba be bi bo bu", "yy": "sché über ßen tz ö", "zz": "ción ñar los que"}
+    rows = []
+    for k in range(360):
+        lang = list(kinds)[k % 3]
+        rows.append((k, "".join(rng.choice(kinds[lang].split()) + rng.choice(["", " "]) for _ in range(int(rng.integers(8, 200)))), lang))
+    rows += [(900, None, "xx"), (901, "", "yy"), (902, "123 !?", None), (903, rows[0][1] * 300, None), (904, rows[0][1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'old' AS lang_pred")
+    sample = language_id.labelled_sample(docs, F.col("doc_id") % 2 == 0, per_language=60)
+    assert max(Counter(lang for _, lang in sample).values()) <= 60
+    net = language_id.train(sample)
+    again = language_id.train(sample)
+    assert all((getattr(net, n) == getattr(again, n)).all() for n in ("embed", "filters", "out"))
+    got = {r["doc_id"]: r for r in language_id.identify(docs, net).collect()}
+    right = [got[k]["lang_pred"] == lang for k, _, lang in rows if lang and 0 < k < 900 and k % 2]
+    assert np.mean(right) > 0.95
+    assert [got[k]["lang_pred"] for k in (900, 901, 902)] == ["und"] * 3 and got[900]["lang_score"] == 0
+    assert got[904]["lang_pred"] == got[0]["lang_pred"] == got[903]["lang_pred"]
+    assert all(0 <= r["lang_score"] <= 1 for r in got.values())
+    data = ("é" * 333).encode()
+    windows, held = language_id.windows_of(data)
+    assert held.sum() == len(data) and bytes(windows[:, :128].ravel()[: len(data)]) == data
+    assert language_id.identify(docs.limit(0), net).count() == 0
+
+
+def test_network_pools_every_place():
+    rng = np.random.default_rng(12)
+    texts = [(bytes(rng.integers(97, 103, 150).astype(np.uint8)), "ab"[k % 2]) for k in range(8)]
+    net = language_id.train(texts, steps=3)
+    w = language_id.windows_of(texts[0][0])[0][:1]
+    want = np.full(net.filters.shape[1], -np.inf)
+    for i in range(w.shape[1] - 3):
+        want = np.maximum(want, net.embed[w[0, i : i + 4]].ravel() @ net.filters)
+    assert np.allclose(net.pooled(w)[0], want + net.bias, atol=1e-5)
+
+
+def test_quality_rules(spark):
+    rng = np.random.default_rng(13)
+    rows, labels = [], []
+    for k in range(600):
+        good = k % 4 != 0
+        text = prose(rng, int(rng.integers(20, 120)))
+        rows.append((k, text if good else text.upper().replace(" ", "!! ")))
+        labels.append((k, int(good)))
+    rows += [(900, None), (901, ""), (902, " \n"), (903, "x" * 50_000), rows[1]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _n", "9.0 AS quality_score")
+    marks = spark.createDataFrame([*labels, (5, None), (None, 1), (3, 1)], "doc_id long, quality int")
+    model = quality_rules.train(docs, marks, F.col("doc_id") % 3 != 1)
+    assert 0 < len(model.rules) <= quality_rules.MOST_RULES
+    got = quality_rules.score(docs, model).collect()
+    assert len(got) == len(rows) and all(0 <= r["quality_score"] <= 1 for r in got)
+    by = {r["doc_id"]: r["quality_score"] for r in got}
+    assert np.mean([(by[k] >= 0.5) == bool(q) for k, q in labels if k % 3 == 1]) > 0.97
+    assert by[900] == by[901]
+    # the compiled column is the rule ensemble
+    names = [f"q_{s}" for s in quality_rules.STATISTICS]
+    stats = quality_rules.with_statistics(docs.select("doc_id", "text")).select("doc_id", *names).collect()
+    x = np.array([[r[n] for n in names] for r in stats])
+    z = model.holds(x) @ np.array(model.weights) + model.intercept
+    for r, v in zip(stats, 1 / (1 + np.exp(-z)), strict=True):
+        assert by[r["doc_id"]] == pytest.approx(v)
+    none = quality_rules.train(docs, marks.limit(0), F.lit(True))
+    assert quality_rules.score(docs, none).select("quality_score").distinct().count() == 1
+
+
+def test_decontaminate(spark):
+    rng = np.random.default_rng(14)
+    plain = prose(rng, 40)
+    sum_ = "a train leaves the big station at 9 with Anna on board and after 9 hours it has gone 300 km so how fast was the train of Anna"
+    benchmark = [(0, plain), (1, sum_), (2, "too short"), (3, None), (None, plain), (4, "go up the long hill and then down again")]
+    other = sum_.replace("9", "7").replace("300", "41").replace("Anna", "Boris")
+    wrong = sum_.replace("at 9", "at 5").replace("after 9", "after 6")
+    docs = {
+        10: prose(rng, 30) + " " + plain + ". " + prose(rng, 20),
+        11: prose(rng, 9) + " " + other + " " + prose(rng, 9),
+        12: prose(rng, 9) + " " + wrong,
+        13: " ".join(plain.split()[5:18]) + " end",
+        14: " ".join(plain.split()[5:17]) + " end",
+        15: prose(rng, 200),
+        16: None,
+        17: "",
+        18: "we go up the long hill and then down again today",
+        19: plain.upper().replace(" ", ",\n"),
+    }
+    rows = [(k, v) for k, v in docs.items()] + [(10, docs[10]), (None, plain)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS item_id", "2 AS at")
+    items = spark.createDataFrame(benchmark, "item_id long, text string").selectExpr("*", "7 AS doc_id")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(df, items).collect()}
+    found = {k for k, r in got.items() if r["contaminated"]}
+    assert found == {(10, 0), (11, 1), (13, 0), (18, 4), (19, 0)}
+    assert got[(12, 1)]["consistent"] is False and got[(11, 1)]["verbatim"] is False
+    assert got[(10, 0)]["verbatim"] and got[(10, 0)]["n_words"] == 40 and got[(13, 0)]["n_words"] == 13
+    kept = decontaminate.without_leaks(df, items)
+    assert kept.columns == df.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([12, 14, 15, 16, 17, None])
+    assert decontaminate.leaks(df.limit(0), items).count() == 0
+    assert decontaminate.leaks(df, items.limit(0)).count() == 0
+
+
+def test_secret_scan(spark):
+    rng = np.random.default_rng(15)
+    hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    rows, want = [], {}
+    for k in range(300):
+        kind = k % 5
+        value = [
+            hexes(40), hexes(18), f"{prose(rng, 1)}.{k}@mail{k % 9}.example.com",
+            f"{k % 250}.{k % 99}.17.204", "AKIA" + "".join(rng.choice(list("ABCDEFGH234567"), 16)),
+        ][kind]
+        shown = [f'token = "{value}"', f"password={value}", value, value, value][kind]
+        rows.append((k, f"{prose(rng, 12)} {shown}, {prose(rng, 12)}"))
+        want[k] = (value, kind in (0, 1, 4))
+    rows += [(900, None), (901, ""), (None, rows[0][1]), (902, "word " * 30_000), rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS value", "2 AS place")
+    found = secret_scan.with_features(secret_scan.candidates(docs), secret_scan.dictionary(docs))
+    assert {(r["doc_id"], r["value"]) for r in found.collect() if len(r["value"]) >= 12} == {
+        (k, v) for k, (v, _) in want.items() if len(v) >= 12
+    }
+    labelled = found.withColumn("label", F.when(F.col("doc_id") % 2 == 0, secret_scan.weak_label()))
+    forest = secret_scan.fit(labelled)
+    got = secret_scan.scan(found, forest).collect()
+    assert np.mean([r["is_secret"] == want[r["doc_id"]][1] for r in got]) > 0.97
+    assert Counter(r["doc_id"] for r in got)[0] == 2
+    flat = secret_scan.fit(labelled.where("label = 1"))
+    assert secret_scan.scan(found, flat).where("score < 1").count() == 0
+    assert secret_scan.fit(labelled.limit(0)).trees == []
+    assert secret_scan.candidates(docs.limit(0)).count() == 0
+
+
+def test_pipeline_on_small_tables(spark, sf_dir):
+    """Stages one by one: each keeps the columns, and its decisions show in its result."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    junk = spark.createDataFrame([(-1, "12 34", None, "src0", 5), (-2, None, None, None, None)], docs.schema)
+    docs = docs.unionByName(junk)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        if name != "shards":
+            assert out.columns == docs.columns
+        assert out.count()
+        if name == "language":
+            assert not {r["doc_id"] for r in out.collect()} & {-1, -2}
+        if name == "near copies":
+            assert out.count() < docs.count()
+        docs = out
+    assert {"shard", "slot"} <= set(docs.columns)
+
+
+def test_pipeline_on_empty_table(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        docs = stage(spark, docs, sf_dir)
+    assert docs.count() == 0
