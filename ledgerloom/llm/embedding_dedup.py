@@ -105,8 +105,9 @@ def _joiner(kind: str, threshold: float):
         part = mask[np.ix_(some, cols)]
         up, down = _forest(part)
         out = [(rx[some], mx[some], left[some], rx[some[up]])]
-        if not row["same"]:
-            out.append((ry[cols], my[cols], right[cols], rx[some[down]]))
+        # In a tile with itself each row is also a column; its links count once.
+        n = right[cols] * (not row["same"])
+        out.append((ry[cols], my[cols], n, rx[some[down]]))
         return [np.concatenate(z) for z in zip(*out, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -65,9 +65,12 @@ def mix(docs: DataFrame, seed: str = "mix:", weights=WEIGHTS, most: int = MOST_E
     """
     docs = docs.drop("source_size", "target", "epochs", "chosen", "taken")
     size = F.greatest(F.coalesce(F.col("size"), F.lit(0)).cast("long"), F.lit(0))
-    keyed = docs.withColumn("size", size).withColumn(
-        "_key", exponential_key(F.col("doc_id"), F.col("weight"), seed)
-    )
+    names = [F.col(c) for c in docs.columns if c != "size"]
+    keyed = docs.select(
+        F.struct(*names).alias("_row"),  # packed, so that no name can clash
+        "doc_id", "source", size.alias("size"),
+        exponential_key(F.col("doc_id"), F.col("weight"), seed).alias("_key"),
+    )
     found = docs.groupBy("source").agg(F.sum(size).alias("words"), F.count("*").alias("rows")).collect()
     goal = targets([(r["source"], r["words"]) for r in found], weights, most)
     plan_rows = []
@@ -101,17 +104,18 @@ def mix(docs: DataFrame, seed: str = "mix:", weights=WEIGHTS, most: int = MOST_E
     )
     keyed = keyed.join(edges, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     whole = keyed.where("_all IS NOT NULL").withColumn("chosen", F.col("_all") == 1)
+    whole = whole.withColumn("_run", F.lit(None).cast("long"))
     order = Window.partitionBy("_source", "_bucket").orderBy("_key", "doc_id", "size")
     run = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
     cut = (
         keyed.where("_all IS NULL")
         .withColumn("_run", run)
         .withColumn("chosen", 2 * F.col("_run") - F.col("size") <= 2 * F.col("_rest"))
-        .drop("_run")
     )
     taken = F.col("size") * (F.col("epochs") + F.col("chosen").cast("long"))
-    out = whole.unionByName(cut).withColumn("taken", taken)
-    return out.drop("_source", "_rest", "_buckets", "_key", "_bucket", "_s", "_b", "_before", "_all")
+    return whole.unionByName(cut).select(
+        "_row.*", "size", "source_size", "target", "epochs", "chosen", taken.alias("taken")
+    )
 
 
 def mixed_documents(docs: DataFrame, seed: str = "mix:") -> DataFrame:

@@ -35,10 +35,11 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.length(F.regexp_replace("_text", pattern, ""))
 
     words = F.filter(F.split("_text", BREAK), lambda w: w != "")
-    parts = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    row = F.struct(*docs.columns).alias("_row")  # packed, so that no name can clash
+    parts = docs.select(row, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     parts = parts.withColumn("_words", words).withColumn("_lines", F.split("_text", "\n"))
     counts = parts.select(
-        *docs.columns,
+        "_row",
         F.length("_text").cast("double").alias("_chars"),
         F.size("_words").cast("double").alias("_n"),
         size_without(r"\p{L}+").alias("_no_letter"),
@@ -68,7 +69,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         share(c["marked"], c["n"]), share(c["capital"], c["n"]),
     ]
     named = [v.alias(f"q_{name}") for v, name in zip(values, STATISTICS, strict=True)]
-    return counts.select(*docs.columns, *named)
+    return counts.select("_row.*", *named)
 
 
 @dataclass
@@ -213,5 +214,5 @@ def score(docs: DataFrame, model: RuleModel) -> DataFrame:
 
     Null and empty texts get the score of their statistics, which are all 0.
     """
-    docs = docs.drop("quality_score")
+    docs = docs.drop("quality_score", *[f"q_{name}" for name in STATISTICS])
     return with_statistics(docs).select(*docs.columns, model.score().alias("quality_score"))

@@ -83,6 +83,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, nodes: int = NODES) -> DataFra
     """
     spark = docs.sparkSession
     docs = docs.drop("shard", "slot")
+    row = F.struct(*docs.columns).alias("_row")  # packed, so that no name can clash
     spots = ring(shards, nodes)
     pieces = _pieces(spots)
     lookup = F.broadcast(  # as many rows as the ring has pieces: a constant
@@ -90,7 +91,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, nodes: int = NODES) -> DataFra
             [(i, *p) for i, p in enumerate(pieces)], "_piece int, _cell long, _low long, _high long, _arc int"
         )
     )
-    placed = docs.withColumn("_at", ring_position(F.col("doc_id"))).withColumn(
+    marks = [F.crc32("text").alias("_crc"), F.xxhash64("text").alias("_mark")]
+    placed = docs.select(row, ring_position(F.col("doc_id")).alias("_at"), *marks).withColumn(
         "_cell", F.shiftright("_at", _CELL_BITS)
     )
     placed = placed.join(lookup, "_cell").where("_at >= _low AND _at < _high")
@@ -104,14 +106,12 @@ def assign(docs: DataFrame, shards: int = SHARDS, nodes: int = NODES) -> DataFra
     ways = F.broadcast(  # at most one run per arc and one per shard that fills up
         spark.createDataFrame(runs, "_arc int, _from long, _to long, shard int, _slot long")
     )
-    order = Window.partitionBy("_piece").orderBy("_at", F.col("doc_id"), F.crc32("text"), F.xxhash64("text"))
+    order = Window.partitionBy("_piece").orderBy("_at", "_row.doc_id", "_crc", "_mark")
     ranked = placed.withColumn("_rank", F.row_number().over(order) - 1).join(offsets, "_piece")
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_start"))
     found = ranked.join(ways, "_arc").where("_rank >= _from AND _rank < _to")
-    found = found.withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_from"))
-    return found.drop(
-        "_at", "_cell", "_piece", "_low", "_high", "_arc", "_rank", "_start", "_from", "_to", "_slot"
-    )
+    slot = F.col("_slot") + F.col("_rank") - F.col("_from")
+    return found.select("_row.*", "shard", slot.alias("slot"))
 
 
 def manifest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

@@ -66,7 +66,9 @@ def anchors(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
         ends = np.minimum(i + width, n - low)
         inside = (starts >= 0) & (ends <= high - low)
         i, starts, ends = i[inside], starts[inside], ends[inside]
-        out.append((i + low, hashes[pick][inside], mix(_hashes(sums, starts, ends) + (ends - starts).astype(np.uint64))))
+        # The same bytes around another place in them are another context.
+        shape = ((ends - starts) << 32 | (i - starts)).astype(np.uint64)
+        out.append((i + low, hashes[pick][inside], mix(_hashes(sums, starts, ends) + shape)))
     if not out:
         none = np.zeros(0, np.uint64)
         return none.astype(np.int64), none, none
@@ -94,8 +96,8 @@ def _anchor_rows(width: int):
     return run
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` bytes at least (Larsson and Sadakane).
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """The suffixes in order (Larsson and Sadakane).
 
     They start sorted by 8 bytes; the sorted depth doubles per round and only groups
     that still hold several suffixes are sorted again, by the ranks of what follows.
@@ -110,7 +112,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     first = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
     ranks[order] = first + 1
     h = 8
-    while h < depth:
+    while h < n:
         last = np.empty(n, bool)
         last[:-1], last[-1] = heads[1:], True
         places = np.flatnonzero(~(heads & last))
@@ -192,7 +194,7 @@ def _searcher(width: int, shared: bool):
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["key", "ctx"]).reset_index(drop=True)
         text, starts, owner, offset, absolute = _layout(rows)
-        order = suffix_array(text, width)
+        order = suffix_array(text)
         lcp = common_prefixes(text, order, starts, width)[order]
         whole = (starts[owner + 1] - starts[owner] - offset >= width)[order]
         run = np.flatnonzero(lcp < width)

@@ -303,7 +303,7 @@ def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(6)
     data = b"".join([bytes(rng.integers(97, 99, 300).astype(np.uint8)), b"abc" * 80, b"abc" * 90, b"q" * 100])
     text = np.frombuffer(data, np.uint8)
-    order = suffix_dedup.suffix_array(text, len(text))
+    order = suffix_dedup.suffix_array(text)
     assert [data[i:] for i in order] == sorted(data[i:] for i in range(len(data)))
     starts = np.array([0, 300, 540, len(data)])
     lcp = suffix_dedup.common_prefixes(text, order, starts, 50)
