@@ -14,7 +14,7 @@ from ledgerloom.llm.components import components
 from ledgerloom.llm.shared import counted, shingle_hashes, staged, total, word_hashes
 
 #: Share of the hash space whose shingles are ordered by document frequency.
-RANKED = 0.4
+RANKED = 0.25
 _BITS = [f"b{i}" for i in range(8)]
 
 
@@ -142,8 +142,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: Fraction = Fr
     for its bucket and size; what that joins is one component. The second pass
     collapses classes of one size, prefix and component into groups, joins groups of
     different components on prefix members, filters the group pairs (size, position, first
-    common member, bits that every pair of members must differ in), expands them and
-    verifies members. So a large group of near copies never becomes all of its pairs.
+    common member, distance of parity bits less the groups' radii), expands them and verifies
+    members. So a large group of near copies never becomes all of its pairs.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
@@ -166,13 +166,13 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: Fraction = Fr
         .groupBy("rid")
         .agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("shared"))
     )
-    lone = F.size("ranked") - F.coalesce(F.size("shared"), F.lit(0))
+    lone = F.col("ranks") - F.coalesce(F.size("shared"), F.lit(0))
     taken = F.greatest(F.lit(0), F.least(F.col("keep") - lone, F.coalesce(F.size("shared"), F.lit(0))))
     head = F.when(taken > 0, F.slice("shared", 1, F.greatest(taken, F.lit(1)))["tok"]).otherwise(
         F.array().cast("array<long>")
     )
     classes = staged(
-        filled.select("rid", "n", "h1", "h2", "keep", F.size("ranked").alias("ranks"), "ranked", "rest", *_BITS)
+        filled.select("rid", "n", "h1", "h2", "keep", F.size("ranked").alias("ranks"), "rest", *_BITS)
         .join(shared, "rid", "left")
         .select(
             "rid", "n", "h1", "h2", lone.alias("lone"), F.concat(head, "rest").alias("prefix"),
@@ -188,25 +188,28 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: Fraction = Fr
     index = classes.select(
         F.explode("prefix").alias("tok"),
         F.floor(F.log(F.col("n").cast("double")) / float(np.log(1 / float(threshold)))).alias("span"),
-        "cid", "n", "common", *_BITS,
+        "cid", "common",
     )
     centre = index.groupBy("tok", "span").agg(
-        F.max(F.struct("common", "cid", "n", *_BITS)).alias("c"), F.count("*").alias("size")
+        F.max(F.struct("common", "cid")).alias("c"), F.count("*").alias("size")
     )
+    stars = (
+        index.join(centre.where("size > 1").select("tok", "span", F.col("c.cid").alias("o_cid")), ["tok", "span"])
+        .where("cid <> o_cid")
+        .select("cid", "o_cid")
+        .distinct()
+    )
+    bits = classes.select("cid", "n", *_BITS)
+    o_bits = bits.select(*[F.col(c).alias(f"o_{c}") for c in bits.columns])
     apart = total([F.bit_count(F.col(b).bitwiseXOR(F.col(f"o_{b}"))) for b in _BITS])
     tried = staged(
-        index.join(
-            centre.where("size > 1").select(
-                "tok", "span", F.col("c.cid").alias("o_cid"), F.col("c.n").alias("o_n"),
-                *[F.col(f"c.{b}").alias(f"o_{b}") for b in _BITS],
-            ),
-            ["tok", "span"],
-        )
-        .where((F.col("cid") != F.col("o_cid")) & _sizes(threshold) & (apart <= _most_apart(threshold)))
+        stars.join(bits, "cid")
+        .join(o_bits, "o_cid")
+        .where(_sizes(threshold) & (apart <= _most_apart(threshold)))
         .select(F.least("cid", "o_cid").alias("a"), F.greatest("cid", "o_cid").alias("b"))
         .distinct(),
         "tried",
-    )
+    )
     first = staged(_verified(tried, sketches, docs, width, threshold), "first")
     known = components(first)
 
@@ -218,51 +221,43 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: Fraction = Fr
         "placed",
     )
     grouping = ["n", "lone", "prefix", "comp"]
-    ands, ors = [f"all_{b}" for b in _BITS], [f"any_{b}" for b in _BITS]
-    groups = staged(
-        placed.groupBy(*grouping).agg(
-            F.min("cid").alias("gid"),
-            *[F.bit_and(b).alias(f"all_{b}") for b in _BITS],
-            *[F.bit_or(b).alias(f"any_{b}") for b in _BITS],
-        ),
-        "groups",
-    )
-    entries = groups.select("*", F.posexplode("prefix").alias("at", "tok")).withColumn(
-        "at", F.col("at") + F.col("lone")
+    groups = staged(placed.groupBy(*grouping).agg(F.min("cid").alias("gid")), "groups")
+    members = staged(
+        placed.join(groups, grouping).select("gid", "cid", "n", "lone", "prefix", "comp", *_BITS), "members"
     )
+    heads = members.where("gid = cid").drop("cid")
+    o_heads = heads.select("gid", *[F.col(b).alias(f"o_{b}") for b in _BITS])
+    radius = members.join(o_heads, "gid").groupBy("gid").agg(F.max(apart).alias("radius"))
+    heads = staged(heads.join(radius, "gid"), "heads")
+    spots = heads.select("gid", "comp", F.explode("prefix").alias("tok"))
     mixed = (
-        entries.groupBy("tok")
+        spots.groupBy("tok")
         .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         .where("lo < hi")
         .select("tok")
     )
-    entries = staged(entries.join(mixed, "tok", "left_semi"), "entries")
-    other = entries.select("tok", *[F.col(c).alias(f"o_{c}") for c in entries.columns if c != "tok"])
-    differ = total(
-        [
-            F.bit_count(
-                F.col(f"all_{b}").bitwiseAND(F.bitwise_not(f"o_any_{b}")).bitwiseOR(
-                    F.col(f"o_all_{b}").bitwiseAND(F.bitwise_not(f"any_{b}"))
-                )
-            )
-            for b in _BITS
-        ]
+    entries = (
+        heads.select("*", F.posexplode("prefix").alias("place", "tok"))
+        .withColumn("ahead", F.slice("prefix", 1, F.col("place")))
+        .withColumn("at", F.col("place") + F.col("lone"))
+        .drop("prefix", "lone", "place")
+        .join(mixed, "tok", "left_semi")
     )
+    other = entries.select("tok", *[F.col(c).alias(f"o_{c}") for c in entries.columns if c != "tok"])
     p, q = threshold.numerator, threshold.denominator
     reach = F.least("at", "o_at") + F.lit(1) + F.least(F.col("n") - F.col("at") - 1, F.col("o_n") - F.col("o_at") - 1)
     pairs = staged(
         entries.join(other, "tok")
         .where(
             (F.col("gid") < F.col("o_gid")) & (F.col("comp") != F.col("o_comp")) & _sizes(threshold)
-            & (differ <= _most_apart(threshold))
+            & (apart - F.col("radius") - F.col("o_radius") <= _most_apart(threshold))
             & (reach * (p + q) >= (F.col("n") + F.col("o_n")) * p)
-            & (F.element_at(F.array_intersect("prefix", "o_prefix"), 1) == F.col("tok"))
+            & ~F.arrays_overlap("ahead", "o_ahead")
         )
         .select("gid", "o_gid"),
         "group-pairs",
     )
-    members = placed.join(groups.select(*grouping, "gid"), grouping).select("gid", "cid", "n", *_BITS)
-    members = staged(members, "members")
+    members = members.select("gid", "cid", "n", *_BITS)
     others = members.select(*[F.col(c).alias(f"o_{c}") for c in members.columns])
     expanded = (
         pairs.join(members, "gid")

@@ -26,8 +26,19 @@ _SEGMENT = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 
+#: Lets Spark delete a query's shuffle files when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, purpose: str) -> DataFrame:
-    return stage_table(df, f"llm-{purpose}")
+    """``df`` written to the shared folder and read back; its shuffle files go with the write."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return stage_table(df, f"llm-{purpose}")
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
 
 
 def counted(df: DataFrame, rows: int) -> DataFrame:

@@ -16,8 +16,11 @@ from ledgerloom.llm.shared import counted, mix, powers, staged
 #: Length of an anchor: the string whose equality brings two places into one shard.
 ANCHOR = 100
 #: Contexts a shard is cut for.
-SHARD_CONTEXTS = 4096
+SHARD_CONTEXTS = 1024
 _STEP = 1 << 20
+_PLACE = np.uint64((1 << 21) - 1)
+#: Texts handled at a time inside a task.
+_ROWS = 500
 
 
 def _sums(b: np.ndarray) -> np.ndarray:
@@ -30,97 +33,85 @@ def _hashes(sums: np.ndarray, starts, ends) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts])
 
 
-def _sliding(x: np.ndarray, width: int, of: np.ufunc, blank) -> np.ndarray:
-    """``of`` (minimum or maximum) over every window of ``width`` values."""
+def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of every window of ``width`` values."""
     n = len(x)
-    rows = np.full(-(-n // width) * width, blank, x.dtype)
+    rows = np.full(-(-n // width) * width, 2**64 - 1, np.uint64)
     rows[:n] = x
     rows = rows.reshape(-1, width)
-    ahead = of.accumulate(rows, axis=1).ravel()[:n]
-    back = of.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()[:n]
-    return of(back[: n - width + 1], ahead[width - 1 :])
+    ahead = np.minimum.accumulate(rows, axis=1).ravel()[:n]
+    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()[:n]
+    return np.minimum(back[: n - width + 1], ahead[width - 1 :])
 
 
-def anchors(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, string hashes and context hashes of the anchors of a text.
+def anchors(data: bytes, width: int) -> tuple[np.ndarray, ...]:
+    """First and last window start, string hash and context hash of each anchor of a text.
 
-    Every string of ``width`` bytes holds at least one anchor, chosen by that string alone: the
-    ANCHOR-byte strings with the least hash in it. The context is all bytes such strings can cover.
+    Every window of ``width`` bytes has one anchor, chosen by its bytes alone: of the ANCHOR-byte
+    strings in it the one with the least hash, the leftmost of equals. An anchor's context is all
+    bytes of its windows, which are neighbours.
     """
     n, out = len(data), []
     for at in range(0, n - width + 1, _STEP):
-        low, high = max(0, at - width), min(n, at + _STEP + 2 * width)
-        b = np.frombuffer(data[low:high], np.uint8)
+        b = np.frombuffer(data[at : min(n, at + _STEP - 1 + width)], np.uint8)
         sums = _sums(b)
-        i = np.arange(at - low, min(n, at + _STEP - 1 + width) - ANCHOR - low + 1)
+        i = np.arange(len(b) - ANCHOR + 1)
         hashes = _hashes(sums, i, i + ANCHOR)
-        span = width - ANCHOR + 1
-        least = _sliding(hashes, span, np.minimum, np.uint64(2**64 - 1))
-        most = _sliding(
-            np.concatenate((np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64))),
-            span, np.maximum, np.uint64(0),
-        )
-        pick = np.flatnonzero(most >= hashes)
-        i = i[pick]
-        starts = np.maximum(i - (width - ANCHOR), -low)
-        ends = np.minimum(i + width, n - low)
-        inside = (starts >= 0) & (ends <= high - low)
-        i, starts, ends = i[inside], starts[inside], ends[inside]
+        ordered = (hashes & ~_PLACE) | i.astype(np.uint64)
+        owner = (_sliding_min(ordered, width - ANCHOR + 1) & _PLACE).astype(np.int64)
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        last = np.append(first[1:], len(owner)) - 1
+        own = owner[first]
         # The same bytes around another place in them are another context.
-        shape = ((ends - starts) << 32 | (i - starts)).astype(np.uint64)
-        out.append((i + low, hashes[pick][inside], mix(_hashes(sums, starts, ends) + shape)))
+        shape = ((last - first) << 32 | (own - first)).astype(np.uint64)
+        out.append((first + at, last + at, hashes[own], mix(_hashes(sums, first, last + width) + shape)))
     if not out:
-        none = np.zeros(0, np.uint64)
-        return none.astype(np.int64), none, none
-    pos, key, ctx = (np.concatenate(x) for x in zip(*out, strict=True))
-    if len(out) > 1:
-        pos, first = np.unique(pos, return_index=True)
-        key, ctx = key[first], ctx[first]
-    return pos, key, ctx
+        none = np.zeros(0, np.int64)
+        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _anchor_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [anchors(x.as_py() or b"", width) for x in batch.column("data")]
-            n = np.array([len(f[0]) for f in found], np.int64)
-            rows = pa.array(np.repeat(np.arange(len(found)), n))
-            flat = [np.concatenate([f[k] for f in found]).astype(np.int64, copy=False) if found else np.zeros(0, np.int64) for k in (0,)]
-            flat += [np.concatenate([f[k] for f in found]).view(np.int64) if found else np.zeros(0, np.int64) for k in (1, 2)]
-            sizes = pa.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column("data")], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(rows), batch.column("mark").take(rows), sizes.take(rows), *map(pa.array, flat)],
-                ["doc_id", "mark", "n_bytes", "pos", "key", "ctx"],
-            )
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                found = [anchors(x.as_py() or b"", width) for x in part.column("data")]
+                rows = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+                flat = [np.concatenate(c).view(np.int64) for c in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(rows), part.column("mark").take(rows), *map(pa.array, flat)],
+                    ["doc_id", "mark", "start", "stop", "key", "ctx"],
+                )
 
     return run
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """The suffixes in order (Larsson and Sadakane).
+def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
+    """The suffixes in the order of their first ``depth`` bytes at least (Larsson and Sadakane).
 
     They start sorted by 8 bytes; the sorted depth doubles per round and only groups
     that still hold several suffixes are sorted again, by the ranks of what follows.
     """
     n = len(text)
     words = eight(text)[:n]
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words)
     ranks = np.zeros(n + 1, np.uint64)
-    heads = np.empty(n, bool)
-    heads[0] = True
-    heads[1:] = words[order[1:]] != words[order[:-1]]
+    heads = np.ones(n, bool)
+    words = words[order]
+    heads[1:] = words[1:] != words[:-1]
     first = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
     ranks[order] = first + 1
     h = 8
-    while h < n:
-        last = np.empty(n, bool)
-        last[:-1], last[-1] = heads[1:], True
+    while h < min(depth, n):
+        last = np.ones(n, bool)
+        last[:-1] = heads[1:]
         places = np.flatnonzero(~(heads & last))
         if not len(places):
             break
         group = order[places]
         keys = (ranks[group] << np.uint64(32)) | ranks[np.minimum(group + h, n)]
-        sub = np.argsort(keys, kind="stable")
+        sub = np.argsort(keys)
         order[places] = group[sub]
         keys = keys[sub]
         fresh = np.ones(len(places), bool)
@@ -143,34 +134,38 @@ def eight(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int) -> np.ndarray:
     """By place: bytes a suffix shares with the one before it in ``order``, ``most`` at most.
 
     Kasai's recurrence (one place further on, at most one byte less) runs for all stretches
-    ``starts[k]:starts[k + 1]`` side by side.
+    ``starts[k]`` to ``ends[k]`` side by side; ``order`` holds the places of these stretches. Since ``order`` may be sorted
+    to a limited depth and leave places out, what a place takes over is checked by hashes.
     """
     n = len(text)
-    words = eight(np.concatenate((text, np.zeros(most + 8, np.uint8))))
+    padded = np.concatenate((text, np.zeros(most + 8, np.uint8)))
+    words, sums = eight(padded), _sums(padded)
+    down = powers(len(sums))[1]
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     out = np.zeros(n, np.int32)
-    ends = starts[1:]
-    carry = np.zeros(len(starts) - 1, np.int64)
-    for step in range(int((ends - starts[:-1]).max(initial=0))):
-        lanes = np.flatnonzero(starts[:-1] + step < ends)
+    carry = np.zeros(len(starts), np.int64)
+    for step in range(int((ends - starts).max(initial=0))):
+        lanes = np.flatnonzero(starts + step < ends)
         i = starts[lanes] + step
         j = before[i]
-        h = np.where(j < 0, 0, np.maximum(carry[lanes] - 1, 0))
-        open_ = np.flatnonzero((j >= 0) & (h < most))
-        while len(open_):
-            differ = words[i[open_] + h[open_]] ^ words[j[open_] + h[open_]]
-            same = np.full(len(open_), 8)
+        h = np.maximum(carry[lanes] - 1, 0)
+        same = (sums[i + h] - sums[i]) * down[i] == (sums[j + h] - sums[j]) * down[j]
+        h[~same | (j < 0)] = 0
+        going = np.flatnonzero((j >= 0) & (h < most))
+        while len(going):
+            differ = words[i[going] + h[going]] ^ words[j[going] + h[going]]
+            more = np.full(len(going), 8)
             some = differ != 0
-            # the exponent of a float gives the highest set bit; rounding up is undone by the mask
+            # A float's exponent gives the highest set bit; clearing the next bit keeps it from rounding up.
             top = differ[some] & ~(differ[some] >> np.uint64(1))
-            same[some] = (1086 - (top.astype(np.float64).view(np.int64) >> 52)) >> 3
-            h[open_] += same
-            open_ = open_[(same == 8) & (h[open_] < most)]
+            more[some] = (1086 - (top.astype(np.float64).view(np.int64) >> 52)) >> 3
+            h[going] += more
+            going = going[(more == 8) & (h[going] < most)]
         h = np.minimum(h, most)
         out[i] = h
         carry[lanes] = h
@@ -194,15 +189,14 @@ def _searcher(width: int, shared: bool):
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["key", "ctx"]).reset_index(drop=True)
         text, starts, owner, offset, absolute = _layout(rows)
-        order = suffix_array(text)
-        lcp = common_prefixes(text, order, starts, width)[order]
-        whole = (starts[owner + 1] - starts[owner] - offset >= width)[order]
+        ends = starts[1:] - width + 1  # of the windows
+        order = suffix_array(text, width)
+        order = order[order < ends[owner[order]]]
+        lcp = common_prefixes(text, order, starts[:-1], ends, width)[order]
         run = np.flatnonzero(lcp < width)
-        high = np.where(whole, absolute[order], -1)
-        low = np.where(whole, absolute[order], np.iinfo(np.int64).max)
-        least, most = np.minimum.reduceat(low, run), np.maximum.reduceat(high, run)
+        least, most = np.minimum.reduceat(absolute[order], run), np.maximum.reduceat(absolute[order], run)
         which = np.cumsum(lcp < width) - 1
-        hit = order[whole & (least < most)[which]]
+        hit = order[(least < most)[which]]
         first = np.full(len(rows), np.iinfo(np.int64).max)
         last = np.full(len(rows), -1)
         np.minimum.at(first, owner[hit], offset[hit])
@@ -210,8 +204,7 @@ def _searcher(width: int, shared: bool):
         out = rows[["key", "ctx"]].assign(first=first, last=last, prints=None)
         out = out[out["last"] >= 0]
         if shared:
-            leaders = np.unique(which[whole], return_index=True)[1]
-            at = order[whole][leaders]
+            at = order[run]
             prints = np.sort(_hashes(_sums(text), at, at + width).view(np.int64))
             extra = pd.DataFrame({"key": [rows["key"][0]], "ctx": [0], "first": [0], "last": [-1], "prints": [prints]})
             out = pd.concat([out, extra], ignore_index=True)
@@ -286,16 +279,15 @@ def repeated_spans(docs: DataFrame, width: int = 400, shard_contexts: int = SHAR
     show the repeats. An anchor with more contexts than a shard holds is dealt over shards by document;
     these exchange sorted fingerprints of their distinct windows.
     """
-    reach = width - ANCHOR
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = staged(
         docs.select("doc_id", "mark", "data").mapInArrow(
-            _anchor_rows(width), f"doc_id {kind}, mark long, n_bytes long, pos long, key long, ctx long"
+            _anchor_rows(width), f"doc_id {kind}, mark long, start long, stop long, key long, ctx long"
         ),
         "anchors",
     )
     contexts = found.groupBy("key", "ctx").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "pos", "n_bytes")).alias("rep")
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "start", "stop")).alias("rep")
     )
     by_key = contexts.groupBy("key").agg(F.sum("n").alias("places"), F.count("*").alias("kinds"))
     contexts = staged(contexts.join(by_key.where("places > 1"), "key"), "contexts")
@@ -303,10 +295,7 @@ def repeated_spans(docs: DataFrame, width: int = 400, shard_contexts: int = SHAR
     n = sought.count()
     spots = sought.select(
         "doc_id", "mark",
-        F.struct(
-            "key", "ctx", "kinds", F.greatest(F.lit(0), F.col("pos") - reach).alias("start"),
-            F.least(F.col("n_bytes"), F.col("pos") + width).alias("stop"),
-        ).alias("spot"),
+        F.struct("key", "ctx", "kinds", "start", (F.col("stop") + width).alias("stop")).alias("spot"),
     )
     spots = staged(spots.groupBy("doc_id", "mark").agg(F.collect_list("spot").alias("spots")), "spots")
     spots = spots.toDF("s_id", "s_mark", "spots")
@@ -344,13 +333,11 @@ def repeated_spans(docs: DataFrame, width: int = 400, shard_contexts: int = SHAR
     twice = contexts.where("n > 1").select("key", "ctx", F.lit(-1).alias("first"), F.lit(-1).alias("last"))
     once = contexts.where("n = 1").select("key", "ctx").join(hits, ["key", "ctx"])
     repeats = staged(once.unionByName(twice), "repeats")
-    start = F.greatest(F.lit(0), F.col("pos") - reach)
     spans = found.join(repeats, ["key", "ctx"]).select(
         "doc_id", "mark",
         F.struct(
-            (start + F.greatest(F.col("first"), F.lit(0))).alias("start"),
-            F.when(F.col("last") < 0, F.least(F.col("n_bytes"), F.col("pos") + width))
-            .otherwise(start + F.col("last") + width).alias("stop"),
+            (F.col("start") + F.greatest(F.col("first"), F.lit(0))).alias("start"),
+            (F.when(F.col("last") < 0, F.col("stop")).otherwise(F.col("start") + F.col("last")) + width).alias("stop"),
         ).alias("span"),
     )
     return spans.groupBy("doc_id", "mark").agg(F.collect_set("span").alias("spans"))

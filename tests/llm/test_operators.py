@@ -279,7 +279,7 @@ def brute_removed(datas, width):
     return out
 
 
-@pytest.mark.parametrize("shard", [4096, 6])
+@pytest.mark.parametrize("shard", [1024, 6])
 def test_suffix_dedup(spark, texts, shard):
     rng = np.random.default_rng(4)
     passage = prose(rng, 110)
@@ -303,22 +303,24 @@ def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(6)
     data = b"".join([bytes(rng.integers(97, 99, 300).astype(np.uint8)), b"abc" * 80, b"abc" * 90, b"q" * 100])
     text = np.frombuffer(data, np.uint8)
-    order = suffix_dedup.suffix_array(text)
+    order = suffix_dedup.suffix_array(text, len(text))
     assert [data[i:] for i in order] == sorted(data[i:] for i in range(len(data)))
-    starts = np.array([0, 300, 540, len(data)])
-    lcp = suffix_dedup.common_prefixes(text, order, starts, 50)
-    for a, b in zip(order, order[1:], strict=False):
-        same = next((k for k in range(50) if data[a + k : a + k + 1] != data[b + k : b + k + 1] or a + k >= len(data)), 50)
-        assert lcp[b] == same
+    bounds = np.array([0, 300, 540, len(data)])
+    for depth in (len(text), 64):
+        order = suffix_dedup.suffix_array(text, depth)
+        lcp = suffix_dedup.common_prefixes(text, order, bounds[:-1], bounds[1:], 50)
+        for a, b in zip(order, order[1:], strict=False):
+            x, y = data[a : a + 50].ljust(50, b"\0"), data[b : b + 50].ljust(50, b"\0")
+            assert lcp[b] == next((k for k in range(50) if x[k] != y[k]), 50)
 
 
-def test_anchor_segments(monkeypatch):
+def test_anchors_share_out_all_windows(monkeypatch):
     rng = np.random.default_rng(9)
-    data = bytes(rng.integers(97, 101, 5000).astype(np.uint8))
-    whole = suffix_dedup.anchors(data, 400)
-    monkeypatch.setattr(suffix_dedup, "_STEP", 700)
-    for x, y in zip(whole, suffix_dedup.anchors(data, 400), strict=True):
-        assert (x == y).all()
+    data = bytes(rng.integers(97, 101, 5000).astype(np.uint8)) + b"ab" * 500
+    for step in (1 << 20, 700):
+        monkeypatch.setattr(suffix_dedup, "_STEP", step)
+        first, last, _, _ = suffix_dedup.anchors(data, 400)
+        assert [k for a, b in zip(first, last, strict=True) for k in range(a, b + 1)] == list(range(len(data) - 399))
 
 
 def test_chat_format(spark):
