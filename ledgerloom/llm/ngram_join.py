@@ -259,8 +259,16 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: Fraction = Fr
     )
     members = members.select("gid", "cid", "n", *_BITS)
     others = members.select(*[F.col(c).alias(f"o_{c}") for c in members.columns])
+    across = heads.select(
+        F.col("gid").alias("o_gid"), F.col("n").alias("o_n"), F.col("radius").alias("o_radius"),
+        *[F.col(b).alias(f"o_{b}") for b in _BITS],
+    )
+    # Members far from the other group's head go before the other group is expanded.
     expanded = (
-        pairs.join(members, "gid")
+        pairs.join(across, "o_gid")
+        .join(members, "gid")
+        .where(apart - F.col("o_radius") <= _most_apart(threshold))
+        .select("o_gid", "cid", "n", *_BITS)
         .join(others, "o_gid")
         .where(apart <= _most_apart(threshold))
         .select(F.least("cid", "o_cid").alias("a"), F.greatest("cid", "o_cid").alias("b"))

@@ -201,12 +201,16 @@ def _searcher(width: int, shared: bool):
         last = np.full(len(rows), -1)
         np.minimum.at(first, owner[hit], offset[hit])
         np.maximum.at(last, owner[hit], offset[hit])
-        out = rows[["key", "ctx"]].assign(first=first, last=last, prints=None)
+        out = rows[["key", "ctx"]].assign(first=first, last=last, part=None, prints=None)
         out = out[out["last"] >= 0]
         if shared:
             at = order[run]
             prints = np.sort(_hashes(_sums(text), at, at + width).view(np.int64))
-            extra = pd.DataFrame({"key": [rows["key"][0]], "ctx": [0], "first": [0], "last": [-1], "prints": [prints]})
+            # Dealt over as many parts of the fingerprint space as the key has shards.
+            part = np.mod(prints, rows["shards"][0])
+            names = np.unique(part)
+            extra = pd.DataFrame({"key": rows["key"][0], "ctx": 0, "first": 0, "last": -1, "part": names})
+            extra["prints"] = [prints[part == p] for p in names]
             out = pd.concat([out, extra], ignore_index=True)
         return out
 
@@ -227,16 +231,7 @@ def _across(large: DataFrame, width: int, result: str, search) -> DataFrame:
     """Repeats of anchors that are dealt over several shards."""
     local = staged(large.groupBy("key", "salt").applyInPandas(search, result + ", salt long"), "local")
     hits = local.where("last >= 0").select("key", "ctx", "first", "last")
-    # A part of the fingerprint space at a time: as many parts as the key has shards.
-    parts = local.where("prints IS NOT NULL").groupBy("key").agg(F.count("*").alias("shards"))
-    dealt = (
-        local.where("prints IS NOT NULL")
-        .select("key", "salt", F.explode("prints").alias("print"))
-        .join(parts, "key")
-        .withColumn("part", F.pmod("print", F.col("shards")))
-        .groupBy("key", "salt", "part")
-        .agg(F.collect_list("print").alias("prints"))
-    )
+    dealt = local.where("prints IS NOT NULL").select("key", "salt", "part", "prints")
     common = dealt.groupBy("key", "part").applyInPandas(_merge, "key long, salt long, prints array<long>")
     across = (
         large.groupBy("key", "salt")
@@ -315,19 +310,20 @@ def repeated_spans(docs: DataFrame, width: int = 400, shard_contexts: int = SHAR
             ).alias("c"),
         )
         .select("doc_id", "mark", "c.*")
-        .withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark"), F.ceil(F.col("kinds") / shard_contexts)))
+        .withColumn("shards", F.ceil(F.col("kinds") / shard_contexts))
+        .withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark"), "shards"))
         .withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(shards))),
         "cuts",
     )
     fields = ["doc_id", "mark", "key", "ctx", "start", "bytes"]
-    result = "key long, ctx long, first long, last long, prints array<long>"
+    result = "key long, ctx long, first long, last long, part long, prints array<long>"
     small = cuts.where(F.col("kinds") <= shard_contexts).select("bin", *fields).groupBy("bin")
-    large = cuts.where(F.col("kinds") > shard_contexts).select("salt", *fields)
+    large = cuts.where(F.col("kinds") > shard_contexts).select("salt", "shards", *fields)
 
     def with_salt(key, rows):
         return _searcher(width, True)(rows).assign(salt=key[1])
 
-    hits = staged(small.applyInPandas(_searcher(width, False), result).drop("prints"), "hits")
+    hits = staged(small.applyInPandas(_searcher(width, False), result).drop("part", "prints"), "hits")
     if not large.isEmpty():
         hits = hits.unionByName(_across(large, width, result, with_salt))
     twice = contexts.where("n > 1").select("key", "ctx", F.lit(-1).alias("first"), F.lit(-1).alias("last"))
