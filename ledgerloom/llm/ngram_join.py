@@ -15,6 +15,9 @@ from ledgerloom.llm.shared import counted, shingle_hashes, staged, total, word_h
 
 #: Share of the hash space whose shingles are ordered by document frequency.
 RANKED = 0.25
+#: Earlier prefix members an index entry carries. A pair is passed over where these overlap, since it is found
+#: there too; at its first common member nothing overlaps, so fewer only mean repeats.
+_AHEAD = 6
 _BITS = [f"b{i}" for i in range(8)]
 
 
@@ -141,8 +144,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: Fraction = Fr
     that occur elsewhere. The first pass compares each class only with the class that stands
     for its bucket and size; what that joins is one component. The second pass
     collapses classes of one size, prefix and component into groups, joins groups of
-    different components on prefix members, filters the group pairs (size, position, first
-    common member, distance of parity bits less the groups' radii), expands them and verifies
+    different components on prefix members, filters the group pairs (size, position, no common
+    member just before, distance of parity bits less the groups' radii), expands them and verifies
     members. So a large group of near copies never becomes all of its pairs.
     """
     spark = docs.sparkSession
@@ -238,7 +241,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: Fraction = Fr
     )
     entries = (
         heads.select("*", F.posexplode("prefix").alias("place", "tok"))
-        .withColumn("ahead", F.slice("prefix", 1, F.col("place")))
+        .withColumn("ahead", F.slice("prefix", F.greatest(F.lit(1), F.col("place") - _AHEAD + 1), F.least(F.col("place"), F.lit(_AHEAD))))
         .withColumn("at", F.col("place") + F.col("lone"))
         .drop("prefix", "lone", "place")
         .join(mixed, "tok", "left_semi")
@@ -254,7 +257,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: Fraction = Fr
             & (reach * (p + q) >= (F.col("n") + F.col("o_n")) * p)
             & ~F.arrays_overlap("ahead", "o_ahead")
         )
-        .select("gid", "o_gid"),
+        .select("gid", "o_gid")
+        .distinct(),
         "group-pairs",
     )
     members = members.select("gid", "cid", "n", *_BITS)
