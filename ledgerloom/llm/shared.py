@@ -26,19 +26,26 @@ _SEGMENT = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 
-#: Lets Spark delete a query's shuffle files when the query ends.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a stage is written: Spark deletes its shuffle files when it ends, and hands
+#: Python small batches, since a text or a set may be long.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
 
 
 def staged(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written to the shared folder and read back; its shuffle files go with the write."""
     conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, None)
-    conf.set(_CLEANUP, "true")
+    before = {key: conf.get(key) for key in _WRITING}
     try:
+        for key, value in _WRITING.items():
+            conf.set(key, value)
         return stage_table(df, f"llm-{purpose}")
     finally:
-        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            conf.set(key, value)
 
 
 def counted(df: DataFrame, rows: int) -> DataFrame:
