@@ -95,7 +95,7 @@ def name_of(words: Column, raw: Column) -> Column:
 
     def title(t: Column) -> Column:
         return F.when(F.length(t) <= V.MERCHANT_ACRONYM_MAX, t).otherwise(
-            F.concat(F.substring(t, 1, 1), F.lower(F.substring(t, 2, 1 << 20)))
+            F.concat(F.substring(t, 1, 1), F.lower(F.substring(t, F.lit(2), F.length(t))))
         )
 
     tidy = F.array_join(F.transform(F.split(words, " "), title), " ")

@@ -109,14 +109,15 @@ def month_totals(ledger: DataFrame) -> DataFrame:
 def month_over_month(ledger: DataFrame) -> DataFrame:
     """Totals beside the previous month's, in the current month's currency.
 
-    The preceding calendar month is a RANGE frame of one month, evaluated on the
-    month × currency table.
+    The preceding calendar month is a RANGE frame of one month within a currency, and a join with
+    the months moved on by one for its existence, both on the month × currency table.
     """
     index = F.year("month") * 12 + F.month("month")
     same_currency = Window.partitionBy("currency_code").orderBy("index").rangeBetween(-1, -1)
-    any_currency = Window.orderBy("index").rangeBetween(-1, -1)
     base = _month_by_currency(ledger).withColumn("index", index)
-    has_previous = F.sum("rows").over(any_currency).isNotNull()
+    before = base.select((F.col("index") + 1).alias("index"), F.lit(True).alias("has_previous")).distinct()
+    base = base.join(before, "index", "left")
+    has_previous = F.col("has_previous")
 
     def previous(name: str) -> Column:
         return F.when(has_previous, F.coalesce(F.sum(name).over(same_currency), F.lit(0)))

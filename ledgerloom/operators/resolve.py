@@ -124,7 +124,8 @@ def tag_rows(rows: DataFrame, store: Store | None = None) -> DataFrame:
             )
         ).alias("seq"),
         "opener",
-    ).select("seq", (F.col("seq") == F.col("opener")).alias("opens"), F.lit(True).alias("_mark"))
+    ).where(F.col("seq") != STORED_SEQ)  # no row of the batch has it
+    marks = marks.select("seq", (F.col("seq") == F.col("opener")).alias("opens"), F.lit(True).alias("_mark"))
 
     tagged = registering.join(marks, "seq", "left").withColumn(
         "opens", F.coalesce("opens", F.lit(False)) & F.col("registers")
