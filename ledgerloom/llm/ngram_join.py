@@ -19,6 +19,9 @@ RANKED = 0.25
 #: there too; at its first common member nothing overlaps, so fewer only mean repeats.
 _AHEAD = 6
 _BITS = [f"b{i}" for i in range(8)]
+#: Turns of other classes standing for a bucket, before the groups of different components are joined. They only
+#: leave less to that join, which is exact after any number of turns.
+_TURNS = 3
 
 
 def _sketcher(width: int, threshold: Fraction):
@@ -142,7 +145,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: Fraction = Fr
 
     Texts with equal sets are one class. Classes are indexed by the members of their prefix
     that occur elsewhere. The first pass compares each class only with the class that stands
-    for its bucket and size; what that joins is one component. The second pass
+    for its bucket and size; what that joins is one component. In buckets that still hold several
+    components, other classes stand for the bucket in turn. The second pass
     collapses classes of one size, prefix and component into groups, joins groups of
     different components on prefix members, filters the group pairs (size, position, no common
     member just before, distance of parity bits less the groups' radii), expands them and verifies
@@ -190,39 +194,75 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: Fraction = Fr
     # First pass: every class against the one that stands for its bucket and size class.
     index = classes.select(
         F.explode("prefix").alias("tok"),
-        F.floor(F.log(F.col("n").cast("double")) / float(np.log(1 / float(threshold)))).alias("span"),
+        (F.log(F.col("n").cast("double")) / float(np.log(1 / float(threshold)))).alias("scale"),
         "cid", "common",
     )
-    centre = index.groupBy("tok", "span").agg(
-        F.max(F.struct("common", "cid")).alias("c"), F.count("*").alias("size")
-    )
+    several = index.groupBy("tok").agg(F.count("*").alias("size")).where("size > 1").select("tok")
+    buckets = staged(index.join(several, "tok", "left_semi"), "buckets")
+    spanned = buckets.withColumn("span", F.floor("scale"))
+    centre = spanned.groupBy("tok", "span").agg(F.max(F.struct("common", "cid")).alias("c"))
     stars = (
-        index.join(centre.where("size > 1").select("tok", "span", F.col("c.cid").alias("o_cid")), ["tok", "span"])
+        spanned.join(centre.select("tok", "span", F.col("c.cid").alias("o_cid")), ["tok", "span"])
         .where("cid <> o_cid")
         .select("cid", "o_cid")
-        .distinct()
     )
     bits = classes.select("cid", "n", *_BITS)
     o_bits = bits.select(*[F.col(c).alias(f"o_{c}") for c in bits.columns])
     apart = total([F.bit_count(F.col(b).bitwiseXOR(F.col(f"o_{b}"))) for b in _BITS])
-    tried = staged(
-        stars.join(bits, "cid")
-        .join(o_bits, "o_cid")
-        .where(_sizes(threshold) & (apart <= _most_apart(threshold)))
-        .select(F.least("cid", "o_cid").alias("a"), F.greatest("cid", "o_cid").alias("b"))
-        .distinct(),
-        "tried",
-    )
+
+    def near(stars: DataFrame) -> DataFrame:
+        """The class pairs that may link by size and parity bits."""
+        return (
+            stars.distinct().join(bits, "cid")
+            .join(o_bits, "o_cid")
+            .where(_sizes(threshold) & (apart <= _most_apart(threshold)))
+            .select(F.least("cid", "o_cid").alias("a"), F.greatest("cid", "o_cid").alias("b"))
+            .distinct()
+        )
+
+    def placing(known: DataFrame) -> DataFrame:
+        """Every class with the component it has so far."""
+        return staged(
+            classes.join(known, classes["cid"] == known["node"], "left").withColumn(
+                "comp", F.coalesce("component", "cid")
+            ).drop("node", "component"),
+            "placed",
+        )
+
+    tried = staged(near(stars), "tried")
     first = staged(_verified(tried, sketches, docs, width, threshold), "first")
     known = components(first)
+    placed = placing(known)
+
+    # A class of the largest component stands for each bucket that still holds several, while that joins some.
+    # Size classes are shifted by half of one at every other turn, so near sizes meet in one at last.
+    for turn in range(_TURNS):
+        span = F.floor(F.col("scale") + (0.5 if turn % 2 == 0 else 0.0)).alias("span")
+        sizes = placed.groupBy("comp").agg(F.count("*").alias("weight"))
+        apiece = buckets.select("tok", span, "cid").join(placed.select("cid", "comp").join(sizes, "comp"), "cid")
+        centre = apiece.groupBy("tok", "span").agg(
+            F.max(F.struct("weight", F.xxhash64("cid", F.lit(turn)).alias("by"), "cid", "comp")).alias("c"),
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+        )
+        stars = (
+            apiece.join(
+                centre.where("lo < hi").select(
+                    "tok", "span", F.col("c.cid").alias("o_cid"), F.col("c.comp").alias("o_comp")
+                ),
+                ["tok", "span"],
+            )
+            .where("comp <> o_comp")
+            .select("cid", "o_cid")
+        )
+        fresh = staged(near(stars).join(tried, ["a", "b"], "left_anti"), "tried")
+        found = staged(_verified(fresh, sketches, docs, width, threshold), "found")
+        tried = tried.union(fresh)
+        if found.isEmpty():
+            break
+        known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+        placed = placing(known)
 
     # Second pass: groups of one size, prefix and component against those of other components.
-    placed = staged(
-        classes.join(known, classes["cid"] == known["node"], "left").withColumn(
-            "comp", F.coalesce("component", "cid")
-        ).drop("node", "component"),
-        "placed",
-    )
     grouping = ["n", "lone", "prefix", "comp"]
     groups = staged(placed.groupBy(*grouping).agg(F.min("cid").alias("gid")), "groups")
     members = staged(
