@@ -11,6 +11,7 @@ from ledgerloom.operators import alerts, reports, resolve
 from ledgerloom.operators.normalise import normalise
 from ledgerloom.schemas import BATCH_COLUMNS
 from ledgerloom.session import spread, stage_table
+from ledgerloom.sources.messages import with_body
 from ledgerloom.sources.store import LedgerStore
 
 
@@ -54,7 +55,7 @@ def start_ingest(
     scanned = messages.observe("scan", F.count("*").alias("scanned"), F.max("id").alias("newest_id"))
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        ingest(store, alerts.extract(spread(batch), zone), checkpoint, epoch)
+        ingest(store, alerts.extract(with_body(spread(batch)), zone), checkpoint, epoch)
 
     return (
         scanned.writeStream.queryName("ledger-ingest")
