@@ -36,6 +36,7 @@ def normalise(parsed: DataFrame) -> DataFrame:
     )
     return derived.select(
         "seq",
+        *[c for c in ("place",) if c in parsed.columns],
         F.abs("amount_minor").alias("amount_minor"),
         "currency_code",
         "type",

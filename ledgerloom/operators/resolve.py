@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as V
 from ledgerloom.functions.dates import has_time_of_day
+from ledgerloom.operators import arrival
 from ledgerloom.operators.ordered import SPAN, previous_value
 from ledgerloom.session import stage_table
 
@@ -308,8 +309,10 @@ def resolve(
 ) -> Resolution:
     """Resolve a batch of normalised rows, optionally against what is stored.
 
-    The tagged rows feed all three results, so they are written once.
+    The tagged rows feed all three results, so they are written once. A ``seq`` on several
+    rows raises.
     """
+    arrival.require_unique(rows)
     tagged = stage(tag_rows(rows, store), "tagged")
     return Resolution(
         outcomes=outcomes(tagged, store, span),

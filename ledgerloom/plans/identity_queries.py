@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import model, reports, resolve, search
+from ledgerloom.operators import alerts, arrival, model, reports, resolve, search, statement_rows, statement_text
 from ledgerloom.operators.normalise import normalise
 from ledgerloom.plans.oracle_tables import LEDGER, MESSAGES, SOURCES, with_tables
 from ledgerloom.plans.registry import query
-from ledgerloom.plans.text_queries import _LOGIT
+from ledgerloom.plans.text_queries import _DOCUMENTS, _LOGIT, _STATEMENTS
+from ledgerloom.schemas import union_parsed
 from ledgerloom.session import shared_dir, stage_table
 from ledgerloom.sources import driver_tables as D
 from ledgerloom.sources import store as S
@@ -206,6 +207,54 @@ def import_history(spark, sf_dir):
     return store.history().drop("batch_id")
 
 
+_THREE = with_tables(_STATEMENTS, _DOCUMENTS, """
+told3 AS (
+  SELECT 1 AS rank, 'SMS' AS source, CASE WHEN st = 'O' THEN 'CREDIT' ELSE 'DEBIT' END AS type,
+         ts + INTERVAL 914 MINUTE AS told, TRUE AS has_ref, * EXCLUDE (has_ref) FROM csv
+  UNION ALL SELECT 2, 'CSV', CASE WHEN st = 'O' THEN 'CREDIT' ELSE 'DEBIT' END, ts, has_ref, * EXCLUDE (has_ref) FROM csv
+  UNION ALL SELECT 3, 'PDF', CASE WHEN st = 'P' AND pr = '5-LOW' THEN 'CREDIT' ELSE 'DEBIT' END, told_at, TRUE,
+         c.* EXCLUDE (has_ref) FROM csv c JOIN (SELECT o_orderkey AS k, told_at FROM doc) ON k = c.o_orderkey),
+numbered AS (
+  SELECT *, row_number() OVER (ORDER BY rank, CASE st WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, pr, o_orderkey) AS seq,
+    'v1:' || sha256('v1|' || CASE WHEN has_ref THEN 'REFERENCE|INR:' || cents || '|' || type || '|' || ref
+      ELSE 'FIELDS|INR:' || cents || '|' || type || '|' || strftime(day, '%Y-%m-%d') || '|' || replace(upper(shop), ' ', '') || '|' END) AS fp
+  FROM told3)""")
+
+
+def _three_sources(spark, sf_dir):
+    """Messages, CSV lines and document lines of the same orders, in one arrival order."""
+    parsed = union_parsed(
+        alerts.extract(D.order_messages(spark, sf_dir)),
+        statement_rows.extract(D.statement_csv_lines(spark, sf_dir)),
+        statement_text.extract(D.statement_text_lines(spark, sf_dir)),
+    )
+    return arrival.numbered(stage_table(normalise(parsed), "normalised"))
+
+
+@query(
+    "three_sources",
+    _THREE
+    + """SELECT min(seq) AS txn_id, fp AS fingerprint, arg_min(cents, seq) AS amount_minor, arg_min(type, seq) AS type,
+         CAST(COALESCE(arg_min(told, seq) FILTER (WHERE told <> ts), arg_min(told, seq)) AS VARCHAR) AS txn_ts,
+         arg_min(source, seq) AS primary_source, max(CASE WHEN has_ref THEN ref END) AS normalized_reference
+         FROM numbered GROUP BY fp""",
+)
+def three_sources(spark, sf_dir):
+    return resolve.resolve(_three_sources(spark, sf_dir)).ledger.select(
+        "txn_id", "fingerprint", "amount_minor", "type", "txn_ts", "primary_source", "normalized_reference"
+    )
+
+
+@query(
+    "three_sources_outcomes",
+    _THREE
+    + """SELECT seq, source, CASE WHEN row_number() OVER (PARTITION BY fp ORDER BY seq) = 1 THEN 'CREATED' ELSE 'MERGED' END AS outcome
+         FROM numbered""",
+)
+def three_sources_outcomes(spark, sf_dir):
+    return resolve.resolve(_three_sources(spark, sf_dir)).outcomes.select("seq", "source", "outcome")
+
+
 @query(
     "store_generations",
     _ALL

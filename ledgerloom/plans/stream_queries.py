@@ -33,14 +33,14 @@ keyed AS (
     ELSE 'v1|FIELDS|INR:' || amount_minor || '|' || type || '|' || strftime(txn_ts, '%Y-%m-%d') || '|'
       || replace(COALESCE(merchant_name, ''), '-', '') || '|' || COALESCE(right(account_identifier, 4), '') END AS payload FROM alerts),
 stored AS (
-  SELECT *, 'v1:' || sha256(payload) || CASE WHEN row_number() OVER (PARTITION BY payload ORDER BY id) > 1 THEN '+sms:' || id ELSE '' END AS fingerprint
+  SELECT *, row_number() OVER (ORDER BY id) AS number, 'v1:' || sha256(payload) || CASE WHEN row_number() OVER (PARTITION BY payload ORDER BY id) > 1 THEN '+sms:' || id ELSE '' END AS fingerprint
   FROM keyed)"""
 
 
 @query(
     "stream_ingest",
     with_tables(MESSAGES, _ALERTS, _IDENTIFIED)
-    + """SELECT id AS txn_id, amount_minor, type, CAST(txn_ts AS VARCHAR) AS txn_ts, is_promotional, fingerprint, payment_method
+    + """SELECT number AS txn_id, amount_minor, type, CAST(txn_ts AS VARCHAR) AS txn_ts, is_promotional, fingerprint, payment_method
          FROM stored""",
 )
 def stream_ingest(spark, sf_dir):
@@ -56,8 +56,8 @@ day_total AS (SELECT CAST(txn_ts AS DATE) AS day, type, CAST(SUM(amount_minor) A
 @query(
     "today_alerts",
     with_tables(MESSAGES, _ALERTS, _TODAY)
-    + """SELECT id AS txn_id, CAST(d.day AS VARCHAR) AS day, a.type, amount_minor, total AS day_total
-         FROM alerts a JOIN day_total d ON d.day = CAST(a.txn_ts AS DATE) AND d.type = a.type WHERE NOT is_promotional""",
+    + """SELECT number AS txn_id, CAST(d.day AS VARCHAR) AS day, a.type, amount_minor, total AS day_total
+         FROM (SELECT *, row_number() OVER (ORDER BY id) AS number FROM alerts) a JOIN day_total d ON d.day = CAST(a.txn_ts AS DATE) AND d.type = a.type WHERE NOT is_promotional""",
 )
 def today_alerts(spark, sf_dir):
     store = _ingested(spark, sf_dir)

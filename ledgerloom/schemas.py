@@ -42,15 +42,21 @@ BATCH_COLUMNS = [
 
 
 def as_parsed(df: DataFrame) -> DataFrame:
-    """Project onto the parsed contract; columns an adapter cannot know become NULL."""
+    """Project onto the parsed contract; columns an adapter cannot know become NULL.
+
+    An adapter with several rows under one ``seq`` may tell their order in ``place``.
+    """
     have = set(df.columns)
+    place = [F.col("place").cast("int").alias("place")] if "place" in have else []
     return df.select(
         *[
             (F.col(name) if name in have else F.lit(None)).cast(kind).alias(name)
             for name, kind in PARSED
-        ]
+        ],
+        *place,
     )
 
 
 def union_parsed(*parsed: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, (as_parsed(p) for p in parsed))
+    """Rows of several adapters; their ``seq`` may collide until ``arrival.numbered`` orders them."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (as_parsed(p) for p in parsed))

@@ -274,6 +274,25 @@ def statement_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message for each order of the statement files, with the very number its CSV line gets."""
+    rows = _statement_orders(spark, sf_dir, "", "")
+    line_number = F.col("file_seq") * (1 << 38) + (F.col("o_orderkey") * 2 + 1) * 64
+    received = F.col("o_orderdate") + F.expr("INTERVAL '15:14' HOUR TO MINUTE")
+    printed, tail = grouped_amount(F.col("amount")), tail_text(F.col("o_orderkey"))
+    spent = F.concat(
+        F.lit("INR "), printed, F.lit(" debited\nA/c no. XX"), tail, F.lit("\nUPI/P2M/"), "ref", F.lit("/STORE "), tail,
+    )
+    earned = F.concat(
+        F.lit("Your a/c XX"), tail, F.lit(" is credited with INR "), printed, F.lit(" on "),
+        F.date_format(received, "dd-MM-yy"), F.lit(" by UPI Ref No. "), "ref",
+    )
+    return rows.select(
+        line_number.alias("id"), F.lit("AX-AXISBK").alias("address"),
+        F.when(F.col("o_orderstatus") == "O", earned).otherwise(spent).alias("body"), received.alias("received_at"),
+    )
+
+
 def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``parsed`` rows: each order as told by a message, a CSV and a PDF statement, then
     the message again and a second message; wording, masks and times differ."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom import fixed_values as V
-from ledgerloom.operators import alerts, reports, resolve
+from ledgerloom.operators import alerts, arrival, reports, resolve
 from ledgerloom.operators.normalise import normalise
 from ledgerloom.schemas import BATCH_COLUMNS
 from ledgerloom.session import spread, stage_table
@@ -17,12 +17,13 @@ from ledgerloom.sources.store import LedgerStore
 def ingest(store: LedgerStore, parsed: DataFrame, run: str, epoch: int) -> bool:
     """Resolve one batch of parsed rows against the store and append it.
 
-    The batch is normalised and written once, because resolving reads it for its
-    keys and for its contents. Replays of a committed batch do nothing.
+    The batch is normalised, put in one arrival order and written once, because resolving
+    reads it for its keys and for its contents. Its numbers go on where the store's end, so a
+    transaction id is never given twice. Replays of a committed batch do nothing.
     """
     if store.is_committed(run, epoch):
         return False
-    rows = stage_table(normalise(parsed), "batch")
+    rows = arrival.numbered(stage_table(normalise(parsed), "batch"), store.next_seq())
     result = resolve.resolve(rows, store.state())
     messages = F.col("source") == "SMS"
     labelled = result.outcomes.withColumn(
