@@ -32,8 +32,13 @@ def template(text: Column) -> Column:
     t = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;][\x20\x09-\x0D])\p{Lu}\p{Ll}+(?!\p{L})", _NAME)
     t = F.lower(F.regexp_replace(t, r"[0-9]+(?:[.,:/][0-9]+)*", _NUMBER))
     t = F.regexp_replace(t, rf"(?<=<num>[\x20\x09-\x0D]?)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", _UNIT)
+    return _bared(t)
+
+
+def _bared(text: Column) -> Column:
+    """The text without punctuation around its words."""
     return F.regexp_replace(
-        t,
+        text,
         r"(?<=[\p{L}\p{N}>])[^\p{L}\p{N}<>\x20\x09-\x0D]+(?=[\x20\x09-\x0D]|$)"
         r"|(?<![^\x20\x09-\x0D])[^\p{L}\p{N}<>\x20\x09-\x0D]+(?=[\p{L}\p{N}<])",
         "",
@@ -48,65 +53,112 @@ def _trimmed(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
 
 
-def _windows(texts: DataFrame, key: str) -> DataFrame:
-    """``key, at, window``: every template window of every text."""
-    hashed = texts.select(
-        key, F.transform(F.split(template(_trimmed(F.col("text"))), BREAK), lambda w: F.xxhash64(w)).alias("h0")
+def _forms(texts: DataFrame, key: str) -> DataFrame:
+    """``key, words, plain``: the words of each text as templates, and plainly folded without placeholders."""
+    split = texts.select(
+        key, F.split(template(_trimmed(F.col("text"))), BREAK).alias("words"), words_of(F.col("text")).alias("raw")
     )
-    size, last = 1, "h0"
+    plain = F.zip_with("words", "raw", lambda w, r: F.when(w.contains("<"), _bared(F.lower(r))).otherwise(w))
+    return split.select(key, "words", plain.alias("plain"))
+
+
+def _windows(docs: DataFrame) -> DataFrame:
+    """``doc_id, at, window``: every template window of every text, and the plain one where it differs."""
+    hashed = _forms(docs, "doc_id").select(
+        "doc_id", *[F.transform(c, lambda w: F.xxhash64(w)).alias(f"{c}0") for c in ("words", "plain")]
+    )
+    size, last = 1, 0
     while size < WINDOW:  # a column per step keeps the lambdas small
-        shifted = F.slice(last, size + 1, F.greatest(F.size(last) - size, F.lit(0)))
-        n = F.greatest(F.size(last) - size, F.lit(0))
-        pair = F.zip_with(F.slice(last, 1, n), shifted, lambda a, b: F.xxhash64(a, b))
-        hashed = hashed.select(key, pair.alias(f"h{size}"))
-        last, size = f"h{size}", size * 2
+        pairs = []
+        for c in ("words", "plain"):
+            n = F.greatest(F.size(f"{c}{last}") - size, F.lit(0))
+            shifted = F.slice(f"{c}{last}", size + 1, n)
+            pair = F.zip_with(F.slice(f"{c}{last}", 1, n), shifted, lambda a, b: F.xxhash64(a, b))
+            pairs.append(pair.alias(f"{c}{size}"))
+        hashed = hashed.select("doc_id", *pairs)
+        last, size = size, size * 2
+    differing = F.zip_with(f"words{last}", f"plain{last}", lambda w, p: F.when(w != p, p))
     # The outer form: for the inner one Spark infers a filter that evaluates all of this again.
-    exploded = hashed.select(key, F.posexplode_outer(last).alias("at", "window"))
-    return exploded.where(F.col("window").isNotNull())
+    exploded = hashed.select(
+        "doc_id", F.size(f"words{last}").alias("n"),
+        F.posexplode_outer(F.concat(f"words{last}", differing)).alias("at", "window"),
+    )
+    return exploded.where(F.col("window").isNotNull()).select("doc_id", (F.col("at") % F.col("n")).alias("at"), "window")
 
 
-def _item_windows(benchmark: DataFrame) -> DataFrame:
-    """The benchmark's windows with enough literal words, and how many of them its item has."""
-    words = benchmark.select("item_id", F.split(template(_trimmed(F.col("text"))), BREAK).alias("words"))
-    literal = F.size(
-        F.filter(F.slice("words", F.col("at") + 1, F.lit(WINDOW)), lambda w: ~w.contains("<"))
-    )
-    kept = (
-        _windows(benchmark, "item_id")
-        .join(words, "item_id")
-        .where(literal >= LITERAL)
-        .select("item_id", "at", "window")
-        .distinct()
-    )
-    sizes = kept.groupBy("item_id").agg(F.count_distinct("at").alias("n_windows"))
-    return kept.join(sizes, "item_id")
+def _hash(words: list[Column]) -> Column:
+    """The hash of one window, as ``_windows`` makes it."""
+    if len(words) == 1:
+        return F.xxhash64(words[0])
+    half = len(words) // 2
+    return F.xxhash64(_hash(words[:half]), _hash(words[half:]))
+
+
+def _literals(words: Column) -> Column:
+    return F.size(F.filter(words, lambda w: ~w.contains("<")))
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """``item_id, words, plain, first, free`` of each item that has words.
+
+    ``first`` is word 0 as a template where a number and a blank stand before it; ``free`` are the places of windows
+    with too few literal words to be looked up as templates.
+    """
+    items = benchmark.where(_trimmed(F.col("text")) != "").distinct()
+    inside = F.get(F.split(template(F.concat(F.lit("1 "), _trimmed(F.col("text")))), BREAK), F.lit(1))
+    forms = _forms(items.select(F.struct("item_id", inside.alias("first")).alias("key"), "text"), "key")
+    at = F.sequence(F.lit(0), F.greatest(F.size("words") - WINDOW, F.lit(0)))
+    free = F.filter(at, lambda p: _literals(F.slice("words", p + 1, WINDOW)) < LITERAL)
+    return forms.select("key.item_id", "words", "plain", "key.first", free.alias("free"))
+
+
+def _item_windows(items: DataFrame) -> DataFrame:
+    """``item_id, item_at, window``: all plain windows, and the template windows with enough literal words.
+
+    A document may have other text before the window's first word, so that is taken in each of its forms.
+    """
+    whole = items.where(F.size("words") >= WINDOW)
+    rows = whole.select("*", F.explode(F.sequence(F.lit(0), F.size("words") - WINDOW)).alias("item_at"))
+    cut = {c: F.slice(c, F.col("item_at") + 1, WINDOW) for c in ("words", "plain")}
+    rest = F.slice("words", F.col("item_at") + 2, WINDOW - 1)
+    opened = F.when(F.col("item_at") == 0, F.col("first")).otherwise(F.get("plain", F.col("item_at")))
+    templates = F.array(cut["words"], *[F.concat(F.array(w), rest) for w in (F.get("plain", F.col("item_at")), opened)])
+    forms = F.concat(F.array(cut["plain"]), F.filter(templates, lambda ws: _literals(ws) >= LITERAL))
+    exploded = rows.select("item_id", "item_at", F.explode(forms).alias("form"))
+    window = _hash([F.get("form", F.lit(k)) for k in range(WINDOW)])
+    return exploded.select("item_id", "item_at", window.alias("window")).distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, n_words, verbatim, consistent, contaminated``, a row per matching pair.
 
     Words become templates (numbers, names and units are typed placeholders). A pair matches where the document
-    holds a stretch of ``STRETCH`` template words of the item in order, or all of a shorter item
-    of at least ``WINDOW`` words. ``n_words`` is the longest such stretch. ``verbatim``: every slot in the stretches
+    holds a stretch of ``STRETCH`` words of the item in order, or all of a shorter item of at least ``WINDOW`` words;
+    a word is the item's if it is equal when folded, or as a template. ``n_words`` is the longest such stretch.
+    ``verbatim``: every slot in the stretches
     has the item's own value. ``consistent``: each value of the item's slots is replaced by one value throughout,
     as when a question is asked anew with other numbers. ``contaminated`` is either.
 
     Rows without ``doc_id`` or ``item_id``, and null or blank texts, match nothing; rows that repeat a
     ``doc_id`` count as one document; further columns are ignored. Items of fewer than ``WINDOW`` words
-    cannot be recognised. All windows of all texts are looked up by a hash join; benchmark windows are
-    broadcast only if counted to be few. Only matched documents are read again for their slots.
+    cannot be recognised. All windows of all texts are looked up by a hash join, as templates and plainly folded;
+    item windows of few literal words only plainly. Benchmark windows are
+    broadcast only if counted to be few. Only matched documents are read again, and compared word by word.
     """
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     benchmark = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(
         "item_id", "text"
     )
-    items = staged(_item_windows(benchmark), "items")
-    sought = items.select("window", "item_id", F.col("at").alias("item_at"), "n_windows")
-    hits = _windows(docs, "doc_id").join(counted(sought, sought.count()), "window")
-    # A stretch is a run of windows on one diagonal; gaps are found from ranks.
-    lines = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "n_windows").agg(
-        F.sort_array(F.collect_set("item_at")).alias("places")
+    items = staged(_items(benchmark), "items")
+    n_items = items.count()
+    sought = staged(_item_windows(items), "item-windows")
+    hits = _windows(docs).join(counted(sought, sought.count()), "window")
+    # A stretch is a run of windows on one diagonal; windows not looked up as templates may belong to it.
+    lines = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+        F.collect_set("item_at").alias("hit")
     )
+    asked = items.select("item_id", "free", F.size("words").alias("n"))
+    lines = lines.join(counted(asked, n_items), "item_id").withColumn("places", F.sort_array(F.array_union("hit", "free")))
     run = F.aggregate(
         "places",
         F.struct(F.lit(0).alias("best"), F.lit(0).alias("now"), F.lit(-9).alias("last")),
@@ -117,46 +169,66 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         ),
         lambda s: s["best"],
     )
-    needed = F.least(F.lit(STRETCH - WINDOW + 1), F.col("n_windows").cast("int"))
-    lines = staged(lines.withColumn("run", run).where(F.col("run") >= needed), "lines")
-    per_doc = lines.groupBy("doc_id").agg(
-        F.collect_set(F.struct("item_id", "shift", "places", "run")).alias("lines")
-    )
+    needed = F.greatest(F.least(F.lit(STRETCH), F.col("n")) - WINDOW + 1, F.lit(1))
+    lines = lines.where(run >= needed).select("doc_id", "item_id", "shift", "n")
+    per_doc = lines.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "shift", "n")).alias("lines"))
     per_doc = staged(per_doc, "lines-by-doc")
-    matched = docs.join(counted(per_doc, per_doc.count()), "doc_id").select(
-        "doc_id",
-        words_of(F.col("text")).alias("words"),
-        F.explode("lines").alias("line"),
-    )
-    asked = benchmark.select(
-        "item_id", words_of(F.col("text")).alias("asked"),
-        F.split(template(_trimmed(F.col("text"))), BREAK).alias("slots"),
-    )
-    places = F.array_distinct(
-        F.flatten(F.transform("line.places", lambda p: F.sequence(p, p + F.lit(WINDOW - 1))))
+    few = per_doc.count()
+    matched = _forms(docs.join(counted(per_doc.select("doc_id"), few), "doc_id", "left_semi"), "doc_id")
+
+    def facing(line: Column) -> Column:
+        """The document's words beside the item's, from place ``ahead`` of the item on."""
+        start = F.greatest(line["shift"], F.lit(0)) + 1
+        return F.struct(
+            line["item_id"].alias("item_id"), F.greatest(-line["shift"], F.lit(0)).alias("ahead"),
+            F.slice("words", start, line["n"]).alias("words"), F.slice("plain", start, line["n"]).alias("plain"),
+        )
+
+    matched = matched.join(counted(per_doc, few), "doc_id").select(
+        "doc_id", F.explode(F.transform("lines", facing)).alias("line")
     )
-    open_ = F.filter(places, lambda p: F.get(F.col("slots"), p).contains("<"))
-    bare = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
-    fills = F.transform(
-        open_,
-        lambda p: F.struct(
-            F.regexp_replace(F.get("asked", p), bare, "").alias("old"),
-            F.regexp_replace(F.get("words", p + F.col("line.shift").cast("int")), bare, "").alias("new"),
+    asked = items.select("item_id", F.col("words").alias("slots"), F.col("plain").alias("asked"))
+
+    def there(column: str, p: Column) -> Column:
+        return F.get(F.col(column), p - F.col("line.ahead"))
+
+    # Per word of the item: 2 or 3 (a slot) if the document has it, 1 if it has its template only, 0 if neither.
+    marks = F.array_join(
+        F.transform(
+            "slots",
+            lambda w, p: F.when(there("line.plain", p) == F.get("asked", p), F.when(w.contains("<"), "3").otherwise("2"))
+            .when(there("line.words", p) == w, "1")
+            .otherwise("0"),
         ),
+        "",
     )
+    size = F.size("slots")
+    longest = F.array_max(F.transform(F.regexp_extract_all("marks", F.lit("[1-3]+"), F.lit(0)), lambda r: F.length(r)))
     pairs = (
         matched.withColumn("item_id", F.col("line.item_id"))
-        .join(asked, "item_id")
-        .select("doc_id", "item_id", F.col("line.run").alias("run"), fills.alias("fills"))
+        .join(counted(asked, n_items), "item_id")
+        .withColumn("marks", marks)
+        .withColumn("n_words", longest)
+        .where(F.col("n_words") >= F.least(F.lit(STRETCH), size))
+    )
+    width = F.least(F.lit(WINDOW), size)
+    agreed = F.filter(
+        F.sequence(F.lit(0), size - width), lambda p: ~F.substr(F.col("marks"), p + 1, width).contains("0")
+    )
+    places = F.array_distinct(F.flatten(F.transform(agreed, lambda p: F.sequence(p, p + width - 1))))
+    open_ = F.filter(places, lambda p: F.get(F.col("slots"), p).contains("<"))
+    fills = F.transform(
+        open_, lambda p: F.struct(F.get("asked", p).alias("old"), there("line.plain", p).alias("new"))
     )
+    pairs = pairs.select("doc_id", "item_id", "n_words", "marks", fills.alias("fills"))
     kinds = F.size(F.array_distinct("fills"))
     olds = F.size(F.array_distinct(F.transform("fills", lambda f: f["old"])))
     same = F.forall("fills", lambda f: f["old"].eqNullSafe(f["new"]))
     judged = pairs.select(
-        "doc_id", "item_id", "run", same.alias("verbatim"), (kinds == olds).alias("consistent")
+        "doc_id", "item_id", "n_words", same.alias("verbatim"), (kinds == olds).alias("consistent")
     )
     return judged.groupBy("doc_id", "item_id").agg(
-        (F.max("run") + WINDOW - 1).cast("long").alias("n_words"),
+        F.max("n_words").cast("long").alias("n_words"),
         F.bool_or("verbatim").alias("verbatim"),
         F.bool_or("consistent").alias("consistent"),
         F.bool_or(F.col("verbatim") | F.col("consistent")).alias("contaminated"),

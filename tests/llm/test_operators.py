@@ -517,3 +517,22 @@ def test_pipeline_on_empty_table(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES[1:]:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def contaminated(spark, docs, benchmark):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(benchmark, "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, items).where("contaminated").collect()}
+
+
+def test_decontaminate_whatever_stands_before(spark):
+    river = "What is the name of the longest river here"
+    zoo = "The keeper told Anna and Boris that Clara would feed the old Bear at the zoo with Dora"
+    sums = "Anna has 9 red apples and gives 4 of them to her brother so how many has she"
+    docs = [
+        (1, f"some text {river}"), (2, f"some text\n{river} and on"), (3, river), (4, f"It ends. {river}"),
+        (5, zoo.lower()), (6, f"we read {zoo.upper()}"), (7, "so " + sums.replace("9", "7").replace("4", "3")),
+        (8, f"see the Rhine{river[4:]}"),
+    ]
+    got = contaminated(spark, docs, [(0, river), (1, zoo), (2, sums)])
+    assert got == {(1, 0), (2, 0), (3, 0), (4, 0), (5, 1), (6, 1), (7, 2)}
