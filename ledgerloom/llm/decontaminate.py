@@ -86,6 +86,21 @@ def _windows(docs: DataFrame) -> DataFrame:
     return exploded.where(F.col("window").isNotNull()).select("doc_id", (F.col("at") % F.col("n")).alias("at"), "window")
 
 
+def _short_windows(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """``doc_id, at, window``: the plain windows of the given lengths, all under ``WINDOW``."""
+    def windows(n: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size("plain") - 1), lambda k: k <= F.size("plain") - n)
+        return F.transform(starts, lambda k: F.struct(k.alias("at"), _short_hash(F.slice("plain", k + 1, n)).alias("window")))
+
+    found = F.flatten(F.array(*[windows(n) for n in lengths]))
+    exploded = _forms(docs, "doc_id").select("doc_id", F.explode_outer(found).alias("w"))
+    return exploded.where("w IS NOT NULL").select("doc_id", "w.*")
+
+
+def _short_hash(words: Column) -> Column:
+    return F.xxhash64(F.size(words), F.array_join(words, " "))
+
+
 def _hash(words: list[Column]) -> Column:
     """The hash of one window, as ``_windows`` makes it."""
     if len(words) == 1:
@@ -115,6 +130,8 @@ def _items(benchmark: DataFrame) -> DataFrame:
 def _item_windows(items: DataFrame) -> DataFrame:
     """``item_id, item_at, window``: all plain windows, and the template windows with enough literal words.
 
+    An item of fewer than ``WINDOW`` words is one plain window.
+
     A document may have other text before the window's first word, so that is taken in each of its forms.
     """
     whole = items.where(F.size("words") >= WINDOW)
@@ -126,23 +143,25 @@ def _item_windows(items: DataFrame) -> DataFrame:
     forms = F.concat(F.array(cut["plain"]), F.filter(templates, lambda ws: _literals(ws) >= LITERAL))
     exploded = rows.select("item_id", "item_at", F.explode(forms).alias("form"))
     window = _hash([F.get("form", F.lit(k)) for k in range(WINDOW)])
-    return exploded.select("item_id", "item_at", window.alias("window")).distinct()
+    short = items.where(F.size("words") < WINDOW).select(
+        "item_id", F.lit(0).alias("item_at"), _short_hash(F.col("plain")).alias("window")
+    )
+    return exploded.select("item_id", "item_at", window.alias("window")).union(short).distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, n_words, verbatim, consistent, contaminated``, a row per matching pair.
 
     Words become templates (numbers, names and units are typed placeholders). A pair matches where the document
-    holds a stretch of ``STRETCH`` words of the item in order, or all of a shorter item of at least ``WINDOW`` words;
+    holds a stretch of ``STRETCH`` words of the item in order, or all of a shorter item;
     a word is the item's if it is equal when folded, or as a template. ``n_words`` is the longest such stretch.
     ``verbatim``: every slot in the stretches
     has the item's own value. ``consistent``: each value of the item's slots is replaced by one value throughout,
     as when a question is asked anew with other numbers. ``contaminated`` is either.
 
     Rows without ``doc_id`` or ``item_id``, and null or blank texts, match nothing; rows that repeat a
-    ``doc_id`` count as one document; further columns are ignored. Items of fewer than ``WINDOW`` words
-    cannot be recognised. All windows of all texts are looked up by a hash join, as templates and plainly folded;
-    item windows of few literal words only plainly. Benchmark windows are
+    ``doc_id`` count as one document; further columns are ignored. Items of fewer than ``WINDOW`` words, and
+    windows of fewer than ``LITERAL`` literal words, are known by their own words only. All windows of all texts are looked up by a hash join, as templates and plainly folded. Benchmark windows are
     broadcast only if counted to be few. Only matched documents are read again, and compared word by word.
     """
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
@@ -152,7 +171,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = staged(_items(benchmark), "items")
     n_items = items.count()
     sought = staged(_item_windows(items), "item-windows")
-    hits = _windows(docs).join(counted(sought, sought.count()), "window")
+    n_sought = sought.count()
+    hits = _windows(docs).join(counted(sought, n_sought), "window")
+    lengths = [r["n"] for r in items.select(F.size("words").alias("n")).where(F.col("n") < WINDOW).distinct().collect()]
+    if lengths:
+        hits = hits.union(_short_windows(docs, sorted(lengths)).join(counted(sought, n_sought), "window"))
     # A stretch is a run of windows on one diagonal; windows not looked up as templates may belong to it.
     lines = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set("item_at").alias("hit")

@@ -536,3 +536,15 @@ def test_decontaminate_whatever_stands_before(spark):
     ]
     got = contaminated(spark, docs, [(0, river), (1, zoo), (2, sums)])
     assert got == {(1, 0), (2, 0), (3, 0), (4, 0), (5, 1), (6, 1), (7, 2)}
+
+
+def test_decontaminate_items_of_few_literal_words(spark):
+    series = "What comes next: 2 4 8 16 32 64 128 256 512 1024"
+    title = "The Rise And Fall Of Anna Boris Clara Dora Emil Franz Greta Hugo Ida"
+    short = "Why is 7 prime"
+    docs = [
+        (1, f"asked: {series}? who knows"), (2, series.replace("16", "17")), (3, f"see {title}, a book"), (4, title.lower()),
+        (5, f"tell me, {short}?"), (6, short), (7, short.replace("7", "11")), (8, "why is 7"), (9, ""), (10, "next: 2 4 8 16 32"),
+    ]
+    got = contaminated(spark, docs, [(0, series), (1, title), (2, short), (3, " ")])
+    assert got == {(1, 0), (3, 1), (4, 1), (5, 2), (6, 2)}
