@@ -156,7 +156,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     holds a stretch of ``STRETCH`` words of the item in order, or all of a shorter item;
     a word is the item's if it is equal when folded, or as a template. ``n_words`` is the longest such stretch.
     ``verbatim``: every slot in the stretches
-    has the item's own value. ``consistent``: each value of the item's slots is replaced by one value throughout,
+    has the item's own value, or an unchanged part of a stretch has ``STRETCH`` literal words. ``consistent``: each value of the item's slots is replaced by one value throughout,
     as when a question is asked anew with other numbers. ``contaminated`` is either.
 
     Rows without ``doc_id`` or ``item_id``, and null or blank texts, match nothing; rows that repeat a
@@ -243,12 +243,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     fills = F.transform(
         open_, lambda p: F.struct(F.get("asked", p).alias("old"), there("line.plain", p).alias("new"))
     )
-    pairs = pairs.select("doc_id", "item_id", "n_words", "marks", fills.alias("fills"))
+    unchanged = F.regexp_extract_all("marks", F.lit("[23]+"), F.lit(0))
+    copied = F.exists(unchanged, lambda r: F.length(F.replace(r, F.lit("3"), F.lit(""))) >= STRETCH)
+    pairs = pairs.select("doc_id", "item_id", "n_words", copied.alias("copied"), fills.alias("fills"))
     kinds = F.size(F.array_distinct("fills"))
     olds = F.size(F.array_distinct(F.transform("fills", lambda f: f["old"])))
     same = F.forall("fills", lambda f: f["old"].eqNullSafe(f["new"]))
     judged = pairs.select(
-        "doc_id", "item_id", "n_words", same.alias("verbatim"), (kinds == olds).alias("consistent")
+        "doc_id", "item_id", "n_words", (same | F.col("copied")).alias("verbatim"), (kinds == olds).alias("consistent")
     )
     return judged.groupBy("doc_id", "item_id").agg(
         F.max("n_words").cast("long").alias("n_words"),

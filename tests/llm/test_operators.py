@@ -548,3 +548,11 @@ def test_decontaminate_items_of_few_literal_words(spark):
     ]
     got = contaminated(spark, docs, [(0, series), (1, title), (2, short), (3, " ")])
     assert got == {(1, 0), (3, 1), (4, 1), (5, 2), (6, 2)}
+
+
+def test_decontaminate_copy_with_one_edited_value(spark):
+    rng = np.random.default_rng(21)
+    head = f"{prose(rng, 20)} takes 2 of them and {prose(rng, 15)}"
+    item = f"{head}. then there are 2 left and {prose(rng, 9)}"
+    got = contaminated(spark, [(1, item.replace("are 2", "are 3")), (2, item)], [(0, item)])
+    assert got == {(1, 0), (2, 0)}
