@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Turns rendered together; earlier ones a template may look back at from inside a block.
+#: Turns of a template that is declared additive rendered together; earlier ones it may look back at from inside a block.
 BLOCK, LOOK_BACK = 16, 2
 _PROBE = "\ue000"
 _OPEN, _CLOSE = "<turn>", "</turn>"
@@ -56,7 +56,7 @@ def _locate(template, history: list, turn: tuple, before: str) -> tuple[str, int
     return after, kept, piece, len(head), len(piece) - len(tail)
 
 
-def _formatter(template: Callable, trained: str, block: int, look_back: int):
+def _formatter(template: Callable, trained: str, block: int, look_back: int, additive: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv: object = None
         history: list = []
@@ -70,7 +70,7 @@ def _formatter(template: Callable, trained: str, block: int, look_back: int):
                     conv, begun, history = conv_id, True, []
                     state = {"at": 0, "chars": 0, "out": template([])}
                     head = state["out"]
-                elif len(history) >= block + look_back:
+                elif additive and len(history) >= block + look_back:
                     history = history[-look_back:] if look_back else []
                     state["out"], head = template(history), ""
                 else:
@@ -103,8 +103,9 @@ FIELDS = ["conv_id", "ordinal", "role", "piece", "start", "stop", "loss_start",
 
 
 def format_turns(
-    rows: DataFrame, template: Callable = render, trained: str = "assistant", block: int = BLOCK, look_back: int = LOOK_BACK
-) -> DataFrame:
+    rows: DataFrame, template: Callable = render, trained: str = "assistant", block: int = BLOCK, look_back: int = LOOK_BACK,
+    additive: bool | None = None,
+) -> DataFrame:
     """One row per turn of ``rows`` (``conv_id, turn, role, text``): what the turn adds to the output.
 
     ``piece`` is that addition, ``start`` and ``stop`` its span in the conversation's output, counted in code points,
@@ -114,12 +115,14 @@ def format_turns(
     template rewrites history (``rewrites``) and the span starts at the first change. The text is found by rendering
     a probe in its place; where that fails ``located`` is false and there is no loss span.
 
-    Up to ``block + look_back`` turns are rendered from the conversation's start. A longer conversation goes on in
-    blocks of ``block`` turns, rendered after the ``look_back`` turns before them, so its cost and memory grow with its
-    length; a template must not depend on turns further back. Rows stream through, sorted by turn (ties by role, text); no
-    conversation is held whole. Null role and text are empty; rows without ``conv_id`` are one conversation; other
+    Every prefix is rendered whole, so a conversation's cost grows with the square of its length and its turns are held
+    while it lasts. Only a template that is declared ``additive`` (the built-in one is) is rendered in blocks: it must
+    render a turn from that turn and the ``look_back`` turns before alone. After ``block + look_back`` turns it then goes
+    on in blocks of ``block`` turns, and cost and memory grow with a conversation's length. Rows stream through, sorted by turn (ties by role, text); conversations
+    are taken one at a time. Null role and text are empty; rows without ``conv_id`` are one conversation; other
     columns are ignored.
     """
+    additive = template is render if additive is None else additive
     kind = rows.schema["conv_id"].dataType.simpleString()
     schema = (
         f"conv_id {kind}, ordinal long, role string, piece string, start long, stop long, loss_start long, "
@@ -130,7 +133,7 @@ def format_turns(
         .repartition("conv_id")
         .sortWithinPartitions("conv_id", "turn", "role", "text")
         .select("conv_id", "role", "text")
-        .mapInArrow(_formatter(template, trained, block, look_back), schema)
+        .mapInArrow(_formatter(template, trained, block, look_back, additive), schema)
     )
 
 

@@ -556,3 +556,21 @@ def test_decontaminate_copy_with_one_edited_value(spark):
     item = f"{head}. then there are 2 left and {prose(rng, 9)}"
     got = contaminated(spark, [(1, item.replace("are 2", "are 3")), (2, item)], [(0, item)])
     assert got == {(1, 0), (2, 0)}
+
+
+def test_chat_template_that_looks_far_back(spark):
+    def template(turns):
+        if turns and turns[0][0] != "system":
+            raise ValueError("a conversation starts with its system turn")
+        first = turns[0][1] if 0 < len(turns) < 30 else "cut"
+        return "".join(f"{k} {first} {r}: {t}\n" for k, (r, t) in enumerate(turns))
+
+    said = [("system", "rules")] + [(("user", "assistant")[k % 2], f"t{k}") for k in range(39)]
+    df = spark.createDataFrame([(1, k, *x) for k, x in enumerate(said)], "conv_id long, turn long, role string, text string")
+    out = ""
+    for k, r in enumerate(chat_format.format_turns(df, template).orderBy("ordinal").collect()):
+        whole = template(said[: k + 1])
+        assert r["rewrites"] == (k == 29) and out[: r["start"]] + r["piece"] == whole and len(whole) == r["stop"]
+        if r["role"] == "assistant":
+            assert whole[r["loss_start"] : r["loss_stop"]] == said[k][1]
+        out = whole
