@@ -67,7 +67,10 @@ def _mask() -> np.ndarray:
 
 
 def train(texts: list[tuple[bytes, str]], steps: int = 500, seed: int = 11) -> Network:
-    """Fit the network to (text, language) pairs with Adam; the same input gives the same network."""
+    """Fit the network to (text, language) pairs with Adam; the same input gives the same network.
+
+    Without texts it knows no language and calls everything ``und``.
+    """
     rng = np.random.default_rng(seed)
     languages = sorted({lang for _, lang in texts})
     x, y = [], []
@@ -76,7 +79,6 @@ def train(texts: list[tuple[bytes, str]], steps: int = 500, seed: int = 11) -> N
         pick = np.unique(np.linspace(0, len(w) - 1, WINDOWS_PER_TEXT).astype(int))
         x.append(w[pick])
         y += [languages.index(lang)] * len(pick)
-    x, y = np.concatenate(x), np.array(y)
     mask, units = _mask(), len(WIDTHS) * FILTERS
     net = Network(
         languages,
@@ -86,6 +88,9 @@ def train(texts: list[tuple[bytes, str]], steps: int = 500, seed: int = 11) -> N
         rng.normal(0, 0.2, (units, len(languages))).astype(np.float32),
         np.zeros(len(languages), np.float32),
     )
+    if not texts:
+        return net
+    x, y = np.concatenate(x), np.array(y)
     names = ("embed", "filters", "bias", "out", "out_bias")
     moments = {n: [np.zeros_like(getattr(net, n)), np.zeros_like(getattr(net, n))] for n in names}
     by_class = [np.flatnonzero(y == k) for k in range(len(languages))]
@@ -144,7 +149,7 @@ def _identifier(net: Network, text_column: str):
             langs, scores = [], []
             for value in batch.column(text_column):
                 text = value.as_py()
-                if text is None or not any(map(str.isalpha, text)):
+                if not net.languages or text is None or not any(map(str.isalpha, text)):
                     langs.append("und")
                     scores.append(0.0)
                     continue

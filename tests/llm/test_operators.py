@@ -586,3 +586,11 @@ def test_secret_candidates_of_any_form(spark):
     docs = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id long, text string")
     got = {(r["doc_id"], r["value"]) for r in secret_scan.candidates(docs).collect()}
     assert {(k, v) for k, (_, v) in texts.items()} <= got
+
+
+def test_language_id_without_labels(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, None, None)], "doc_id long, text string, lang string")
+    for part in (docs, docs.limit(0)):
+        net = language_id.train(language_id.labelled_sample(part, F.lit(True)))
+        got = language_id.identify(part, net).collect()
+        assert all((r["lang_pred"], r["lang_score"]) == ("und", 0.0) for r in got) and len(got) == part.count()
