@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
     chat_format,
+    cross_polytope,
     decontaminate,
     embedding_dedup,
     language_id,
     mixing,
     ngram_join,
+    periodic_runs,
     quality_rules,
     ring_sharding,
     secret_scan,
     suffix_dedup,
+    turn_repair,
 )
 from ledgerloom.llm.shared import staged, word_count
 
@@ -93,11 +98,34 @@ def op10_chat_format(spark: SparkSession, directory: str) -> DataFrame:
     return chat_format.digests(chat_format.format_turns(rows.unionByName(extra)))
 
 
+def op11_periodic_runs(spark: SparkSession, directory: str) -> DataFrame:
+    docs = periodic_runs.replayed(table(spark, directory, "documents"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(docs))
+
+
+def op12_cross_polytope(spark: SparkSession, directory: str) -> DataFrame:
+    return cross_polytope.nearest(table(spark, directory, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_turn_repair(spark: SparkSession, directory: str) -> DataFrame:
+    rows = table(spark, directory, "conversations")
+    edited, found = turn_repair.repair(turn_repair.damaged(rows))
+    ids = rows.select("conv_id").distinct()
+    out = ids
+    for part in (found, turn_repair.digests(edited)):
+        part = part.withColumnRenamed("conv_id", "_id")
+        out = out.join(part, F.col("conv_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    nothing = hashlib.sha256().hexdigest()
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return out.fillna(0, counts).fillna({"audit": "", "repaired_sha256": nothing})
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_dedup, op2_mix_sources, op3_quality_rules, op4_ngram_join, op5_decontaminate,
-        op6_secret_scan, op7_language_id, op8_ring_sharding, op9_suffix_dedup, op10_chat_format,
+        op6_secret_scan, op7_language_id, op8_ring_sharding, op9_suffix_dedup, op10_chat_format, op11_periodic_runs,
+        op12_cross_polytope, op13_turn_repair,
     )
 }
 
