@@ -18,7 +18,9 @@ RECALL = 0.98
 #: Queries that tables and probes are fitted on, those with the least hash; all vectors are compared with them.
 SAMPLE_QUERIES = 128
 #: Tables at most, and probes per table that are tried; all axes of one table are an exhaustive search.
-TABLES, PROBES = 32, (1, 2, 4, 8, 16, 32, 64)
+TABLES, PROBES = 32, (1, 2, 4, 8, 16, 32)
+#: Products that cost as much as copying a vector through a shuffle.
+COPY = 1000
 #: Rows and queries of a tile, and tables that are searched in one round.
 TILE, ROUND = 1024, 4
 _TURNS = 3
@@ -148,8 +150,10 @@ def fitted(rows: DataFrame, queries: DataFrame, count: int, recall: float = RECA
     """(tables, probes per table) of least work that find ``recall`` of the sample's true neighbours.
 
     ``SAMPLE_QUERIES`` queries are compared with every row; their neighbours, ``count`` per query, come to the driver.
-    Work is counted in buckets; probing every axis of one table finds everything.
+    A table copies every row and a probe every query; a copy counts as ``COPY`` products. Only where no choice finds
+    enough, as in a table of a few rows, every axis of one table is probed, which finds everything.
     """
+    sizes = rows.count(), queries.count()
     sample = queries.orderBy(F.xxhash64("data"), "data").limit(SAMPLE_QUERIES).select("data").collect()
     sample = [(n, bytes(r["data"])) for n, r in enumerate(sample)]
     near = rows.select("size", "data").mapInArrow(_sample_search(sample, count), "n long, score double, data binary")
@@ -169,13 +173,14 @@ def fitted(rows: DataFrame, queries: DataFrame, count: int, recall: float = RECA
         return 1, 2
     ranks = np.concatenate(ranks)
     every = 2 * max(signs(len(d) // 8, 1).shape[2] for _, d in sample)
-    choices = [(every, 1, every)]
-    for p in PROBES:
+    choices = []
+    for p in (p for p in PROBES if p < every):
         hit = np.logical_or.accumulate(ranks < p, axis=1).mean(axis=0)
         enough = np.flatnonzero(hit >= recall)
-        if len(enough) and p < every:
-            choices.append(((int(enough[0]) + 1) * p, int(enough[0]) + 1, p))
-    return min(choices)[1:]
+        if len(enough):
+            work = COPY * (sizes[0] + p * sizes[1]) + p * sizes[0] * sizes[1] / every
+            choices.append(((int(enough[0]) + 1) * work, int(enough[0]) + 1, p))
+    return min(choices)[1:] if choices else (1, every)
 
 
 def _probed(tables: int, first: int, last: int, count: int):
