@@ -53,20 +53,31 @@ def _trimmed(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
 
 
-def _forms(texts: DataFrame, key: str) -> DataFrame:
-    """``key, words, plain``: the words of each text as templates, and plainly folded without placeholders."""
-    split = texts.select(
+def _split(texts: DataFrame, key: str) -> DataFrame:
+    """``key, words, raw``: the words of each text as templates, and as they stand."""
+    return texts.select(
         key, F.split(template(_trimmed(F.col("text"))), BREAK).alias("words"), words_of(F.col("text")).alias("raw")
     )
-    plain = F.zip_with("words", "raw", lambda w, r: F.when(w.contains("<"), _bared(F.lower(r))).otherwise(w))
-    return split.select(key, "words", plain.alias("plain"))
+
+
+def _plain() -> Column:
+    """The words plainly folded, without placeholders."""
+    return F.zip_with("words", "raw", lambda w, r: F.when(w.contains("<"), _bared(F.lower(r))).otherwise(w))
+
+
+def _forms(texts: DataFrame, key: str) -> DataFrame:
+    """``key, words, plain``: the words of each text as templates, and plainly folded without placeholders."""
+    return _split(texts, key).select(key, "words", _plain().alias("plain"))
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    """``doc_id, at, window``: every template window of every text, and the plain one where it differs."""
-    hashed = _forms(docs, "doc_id").select(
-        "doc_id", *[F.transform(c, lambda w: F.xxhash64(w)).alias(f"{c}0") for c in ("words", "plain")]
-    )
+    """``doc, at, window``: every template window of every text, and the plain one where it differs."""
+    # Both forms of a text without placeholders are the same, so it has one list of windows.
+    slots = F.exists("words", lambda w: w.contains("<"))
+    hashed = _split(docs, "doc").select(
+        "doc", F.transform("words", lambda w: F.xxhash64(w)).alias("words0"),
+        F.when(slots, F.transform(_plain(), lambda w: F.xxhash64(w))).alias("plain0"),
+    )
     size, last = 1, 0
     while size < WINDOW:  # a column per step keeps the lambdas small
         pairs = []
@@ -75,26 +86,27 @@ def _windows(docs: DataFrame) -> DataFrame:
             shifted = F.slice(f"{c}{last}", size + 1, n)
             pair = F.zip_with(F.slice(f"{c}{last}", 1, n), shifted, lambda a, b: F.xxhash64(a, b))
             pairs.append(pair.alias(f"{c}{size}"))
-        hashed = hashed.select("doc_id", *pairs)
+        hashed = hashed.select("doc", *pairs)
         last, size = size, size * 2
     differing = F.zip_with(f"words{last}", f"plain{last}", lambda w, p: F.when(w != p, p))
+    none = F.array().cast("array<long>")
     # The outer form: for the inner one Spark infers a filter that evaluates all of this again.
     exploded = hashed.select(
-        "doc_id", F.size(f"words{last}").alias("n"),
-        F.posexplode_outer(F.concat(f"words{last}", differing)).alias("at", "window"),
+        "doc", F.size(f"words{last}").alias("n"),
+        F.posexplode_outer(F.concat(f"words{last}", F.coalesce(differing, none))).alias("at", "window"),
     )
-    return exploded.where(F.col("window").isNotNull()).select("doc_id", (F.col("at") % F.col("n")).alias("at"), "window")
+    return exploded.where(F.col("window").isNotNull()).select("doc", (F.col("at") % F.col("n")).alias("at"), "window")
 
 
 def _short_windows(docs: DataFrame, lengths: list[int]) -> DataFrame:
-    """``doc_id, at, window``: the plain windows of the given lengths, all under ``WINDOW``."""
+    """``doc, at, window``: the plain windows of the given lengths, all under ``WINDOW``."""
     def windows(n: int) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size("plain") - 1), lambda k: k <= F.size("plain") - n)
         return F.transform(starts, lambda k: F.struct(k.alias("at"), _short_hash(F.slice("plain", k + 1, n)).alias("window")))
 
     found = F.flatten(F.array(*[windows(n) for n in lengths]))
-    exploded = _forms(docs, "doc_id").select("doc_id", F.explode_outer(found).alias("w"))
-    return exploded.where("w IS NOT NULL").select("doc_id", "w.*")
+    exploded = _forms(docs, "doc").select("doc", F.explode_outer(found).alias("w"))
+    return exploded.where("w IS NOT NULL").select("doc", "w.*")
 
 
 def _short_hash(words: Column) -> Column:
@@ -149,22 +161,27 @@ def _item_windows(items: DataFrame) -> DataFrame:
     return exploded.select("item_id", "item_at", window.alias("window")).union(short).distinct()
 
 
+def _document() -> Column:
+    """What a document is known by: its id, which may be null or stand on several texts, and a hash of its text."""
+    return F.struct("doc_id", F.xxhash64("text").alias("mark"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, item_id, n_words, verbatim, consistent, contaminated``, a row per matching pair.
+    """``doc_id, item_id, n_words, verbatim, consistent, contaminated, text_mark``, a row per matching pair.
 
     Words become templates (numbers, names and units are typed placeholders). A pair matches where the document
     holds a stretch of ``STRETCH`` words of the item in order, or all of a shorter item;
     a word is the item's if it is equal when folded, or as a template. ``n_words`` is the longest such stretch.
     ``verbatim``: every slot in the stretches
-    has the item's own value, or an unchanged part of a stretch has ``STRETCH`` literal words. ``consistent``: each value of the item's slots is replaced by one value throughout,
+    has the item's own value, or an unchanged part of a stretch has ``STRETCH`` words, values of slots included. ``consistent``: each value of the item's slots is replaced by one value throughout,
     as when a question is asked anew with other numbers. ``contaminated`` is either.
 
-    Rows without ``doc_id`` or ``item_id``, and null or blank texts, match nothing; rows that repeat a
-    ``doc_id`` count as one document; further columns are ignored. Items of fewer than ``WINDOW`` words, and
+    Items without ``item_id``, and null or blank texts, match nothing. A document is an id with a text (``text_mark``, its hash): rows
+    equal in both are one, rows without ``doc_id`` and texts that share one are judged each for itself. Further columns are ignored. Items of fewer than ``WINDOW`` words, and
     windows of fewer than ``LITERAL`` literal words, are known by their own words only. All windows of all texts are looked up by a hash join, as templates and plainly folded. Benchmark windows are
     broadcast only if counted to be few. Only matched documents are read again, and compared word by word.
     """
-    docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+    docs = docs.where(F.col("text").isNotNull()).select(_document().alias("doc"), "text")
     benchmark = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(
         "item_id", "text"
     )
@@ -177,7 +194,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if lengths:
         hits = hits.union(_short_windows(docs, sorted(lengths)).join(counted(sought, n_sought), "window"))
     # A stretch is a run of windows on one diagonal; windows not looked up as templates may belong to it.
-    lines = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+    lines = hits.groupBy("doc", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set("item_at").alias("hit")
     )
     asked = items.select("item_id", "free", F.size("words").alias("n"))
@@ -193,11 +210,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         lambda s: s["best"],
     )
     needed = F.greatest(F.least(F.lit(STRETCH), F.col("n")) - WINDOW + 1, F.lit(1))
-    lines = lines.where(run >= needed).select("doc_id", "item_id", "shift", "n")
-    per_doc = lines.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "shift", "n")).alias("lines"))
+    lines = lines.where(run >= needed).select("doc", "item_id", "shift", "n")
+    per_doc = lines.groupBy("doc").agg(F.collect_set(F.struct("item_id", "shift", "n")).alias("lines"))
     per_doc = staged(per_doc, "lines-by-doc")
     few = per_doc.count()
-    matched = _forms(docs.join(counted(per_doc.select("doc_id"), few), "doc_id", "left_semi"), "doc_id")
+    matched = _forms(docs.join(counted(per_doc.select("doc"), few), "doc", "left_semi"), "doc")
 
     def facing(line: Column) -> Column:
         """The document's words beside the item's, from place ``ahead`` of the item on."""
@@ -207,8 +224,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             F.slice("words", start, line["n"]).alias("words"), F.slice("plain", start, line["n"]).alias("plain"),
         )
 
-    matched = matched.join(counted(per_doc, few), "doc_id").select(
-        "doc_id", F.explode(F.transform("lines", facing)).alias("line")
+    matched = matched.join(counted(per_doc, few), "doc").select(
+        "doc", F.explode(F.transform("lines", facing)).alias("line")
     )
     asked = items.select("item_id", F.col("words").alias("slots"), F.col("plain").alias("asked"))
 
@@ -244,23 +261,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         open_, lambda p: F.struct(F.get("asked", p).alias("old"), there("line.plain", p).alias("new"))
     )
     unchanged = F.regexp_extract_all("marks", F.lit("[23]+"), F.lit(0))
-    copied = F.exists(unchanged, lambda r: F.length(F.replace(r, F.lit("3"), F.lit(""))) >= STRETCH)
-    pairs = pairs.select("doc_id", "item_id", "n_words", copied.alias("copied"), fills.alias("fills"))
+    copied = F.exists(unchanged, lambda r: F.length(r) >= STRETCH)
+    pairs = pairs.select("doc", "item_id", "n_words", copied.alias("copied"), fills.alias("fills"))
     kinds = F.size(F.array_distinct("fills"))
     olds = F.size(F.array_distinct(F.transform("fills", lambda f: f["old"])))
     same = F.forall("fills", lambda f: f["old"].eqNullSafe(f["new"]))
     judged = pairs.select(
-        "doc_id", "item_id", "n_words", (same | F.col("copied")).alias("verbatim"), (kinds == olds).alias("consistent")
+        "doc", "item_id", "n_words", (same | F.col("copied")).alias("verbatim"), (kinds == olds).alias("consistent")
     )
-    return judged.groupBy("doc_id", "item_id").agg(
+    found = judged.groupBy("doc", "item_id").agg(
         F.max("n_words").cast("long").alias("n_words"),
         F.bool_or("verbatim").alias("verbatim"),
         F.bool_or("consistent").alias("consistent"),
         F.bool_or(F.col("verbatim") | F.col("consistent")).alias("contaminated"),
     )
+    return found.select("doc.doc_id", "item_id", "n_words", "verbatim", "consistent", "contaminated", F.col("doc.mark").alias("text_mark"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without contaminated documents; all columns stay, rows without ``doc_id`` stay."""
-    found = leaks(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without contaminated rows; all columns stay. Rows that share an id, or have none, are judged each for itself."""
+    names = docs.columns
+    gone = leaks(docs, benchmark).where("contaminated").select(F.struct("doc_id", F.col("text_mark").alias("mark")).alias("gone")).distinct()
+    packed = docs.select(_document().alias("doc"), F.struct(*names).alias("row"))
+    return packed.join(gone, F.col("doc") == F.col("gone"), "left_anti").select("row.*")
