@@ -152,6 +152,15 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: Fraction = Fr
     member just before, distance of parity bits less the groups' radii), expands them and verifies
     members. So a large group of near copies never becomes all of its pairs.
     """
+    return rows_with_component(docs, width, threshold).select(
+        "doc_id",
+        F.col("n").cast("long").alias("n_shingles"),
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+    )
+
+
+def rows_with_component(docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
+    """``doc_id, mark`` (hash of the text)``, n, root, component_id`` per row; rows of one component have one ``root``."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     schema = (
@@ -323,7 +332,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: Fraction = Fr
     second = staged(_verified(expanded, sketches, docs, width, threshold), "second")
 
     joined = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second))
-    rows = sketches.select("rid", "doc_id", "n", "h1", "h2")
+    rows = sketches.select("rid", "doc_id", "mark", "n", "h1", "h2")
     names = rows.where("n > 0").groupBy("n", "h1", "h2").agg(
         F.min("rid").alias("cid"), F.min("doc_id").alias("low")
     )
@@ -331,26 +340,32 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: Fraction = Fr
         "root", F.coalesce("component", "cid")
     )
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    found = named.join(lowest, "root").select("n", "h1", "h2", "component_id")
-    return rows.join(found, ["n", "h1", "h2"], "left").select(
-        "doc_id",
-        F.col("n").cast("long").alias("n_shingles"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-    )
+    found = named.join(lowest, "root").select("n", "h1", "h2", "root", "component_id")
+    return rows.join(found, ["n", "h1", "h2"], "left").select("doc_id", "mark", "n", "root", "component_id")
 
 
 def one_per_component(docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(8, 10)) -> DataFrame:
     """``docs`` without near copies: one row of each component stays, all columns kept.
 
-    The row with the smallest ``doc_id`` stays. Of rows that repeat both id and text one
-    stays; rows that share an id but not the text are versions of one document and stay
-    or go together. Rows without ``doc_id`` stay.
+    The row with the smallest ``doc_id`` stays, one with an id before one without, then the one whose text has the smallest
+    hash. Decisions are by row: texts that share an id, or have none, go or stay each for itself. Of rows equal in
+    id and text one stays. Null and blank texts link with nothing; those without id all stay.
     """
-    found = jaccard_components(docs, width, threshold)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    repeated = staged(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    kept = docs.join(gone, "doc_id", "left_anti")
+    rows = staged(rows_with_component(docs, width, threshold).select("doc_id", "mark", "n", "root"), "by-row")
+    found = rows.where("n > 0")
+    blank = rows.where("n = 0 AND doc_id IS NOT NULL").groupBy("doc_id", "mark").agg(F.lit(True).alias("stays"), F.count("*").alias("times"))
+    row = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "mark")
+    first = found.groupBy("root").agg(F.min(row).alias("first"), F.count("*").alias("size"))
+    several = found.join(first.where("size > 1"), "root").select("doc_id", "mark", "first")
+    mine = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
+    judged = several.groupBy("doc_id", "mark").agg(F.bool_or(mine).alias("stays"), F.count("*").alias("times"))
+    judged = staged(judged.union(blank).where("NOT stays OR times > 1").toDF("_id", "_text_mark", "_stays", "_times"), "judged")
+    names = docs.columns
+    packed = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.struct(*names).alias("row"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_text_mark"))
+    kept = packed.join(judged.where("NOT _stays"), same, "left_anti")
+    repeated = judged.where("_stays")
     if repeated.isEmpty():
-        return kept.select(docs.columns)
-    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(again).select(docs.columns)
+        return kept.select("row.*")
+    again = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "mark"])
+    return kept.join(repeated, same, "left_anti").unionByName(again).select("row.*")

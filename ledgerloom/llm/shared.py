@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 import numpy as np
@@ -17,12 +18,9 @@ BREAK = r"[\x20\x09-\x0D]+"
 #: Rows a DataFrame may have, counted first, to be broadcast on purpose.
 BROADCAST_ROWS = 500_000
 
-_GAP = np.zeros(256, bool)
-_GAP[[32, *range(9, 14)]] = True
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
 _SEGMENT = 1 << 20
+_KNOWN_WORDS = 1 << 18
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -82,7 +80,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _segments(data: bytes):
-    """Cuts at blanks, so that helper arrays stay small for any length of text."""
+    """Cuts at blanks, so that word lists stay small for any length of text."""
     at = 0
     while len(data) - at > _SEGMENT:
         cut = max(data.rfind(b, at, at + _SEGMENT) for b in (b" ", b"\n"))
@@ -94,18 +92,24 @@ def _segments(data: bytes):
     yield data[at:]
 
 
+class _WordHashes(dict):
+    """64 bits of BLAKE2b per word, kept for the words a task has met lately."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _KNOWN_WORDS:
+            self.clear()
+        self[word] = value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return value
+
+
+_words = _WordHashes()
+
+
 def word_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash per word of the UTF-8 text, letters A-Z folded."""
-    out = []
-    for part in _segments(data):
-        b = _FOLD[np.frombuffer(part, np.uint8)]
-        edge = np.flatnonzero(np.diff(np.concatenate(([True], _GAP[b], [True]))))
-        starts, ends = edge[0::2], edge[1::2]
-        up, down = powers(len(b) + 1)
-        sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
-        out.append(mix((sums[ends] - sums[starts]) * down[starts]))
-    return np.concatenate(out) if len(out) > 1 else out[0]
+    return np.concatenate(
+        [np.array([*map(_words.__getitem__, part.lower().split())], np.uint64) for part in _segments(data)]
+    )
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
