@@ -433,10 +433,12 @@ def test_decontaminate(spark):
     benchmark = [(0, plain), (1, sum_), (2, "too short"), (3, None), (None, plain), (4, "go up the long hill and then down again")]
     other = sum_.replace("9", "7").replace("300", "41").replace("Anna", "Boris")
     wrong = sum_.replace("at 9", "at 5").replace("after 9", "after 6")
+    stretch = wrong.replace("300", "41")  # no 13 words in a row are the item's own
     docs = {
         10: prose(rng, 30) + " " + plain + ". " + prose(rng, 20),
         11: prose(rng, 9) + " " + other + " " + prose(rng, 9),
-        12: prose(rng, 9) + " " + wrong,
+        12: prose(rng, 9) + " " + stretch,
+        20: prose(rng, 9) + " " + wrong,  # its last 14 words are the item's, slots among them
         13: " ".join(plain.split()[5:18]) + " end",
         14: " ".join(plain.split()[5:17]) + " end",
         15: prose(rng, 200),
@@ -445,17 +447,20 @@ def test_decontaminate(spark):
         18: "we go up the long hill and then down again today",
         19: plain.upper().replace(" ", ",\n"),
     }
-    rows = [(k, v) for k, v in docs.items()] + [(10, docs[10]), (None, plain)]
+    clean = prose(rng, 60)
+    rows = [(k, v) for k, v in docs.items()] + [(10, docs[10]), (None, plain), (None, clean), (10, clean)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS item_id", "2 AS at")
     items = spark.createDataFrame(benchmark, "item_id long, text string").selectExpr("*", "7 AS doc_id")
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(df, items).collect()}
     found = {k for k, r in got.items() if r["contaminated"]}
-    assert found == {(10, 0), (11, 1), (13, 0), (18, 4), (19, 0)}
+    assert found == {(10, 0), (11, 1), (13, 0), (18, 4), (19, 0), (20, 1), (None, 0)}
+    assert got[(20, 1)]["consistent"] is False and got[(20, 1)]["verbatim"]
     assert got[(12, 1)]["consistent"] is False and got[(11, 1)]["verbatim"] is False
     assert got[(10, 0)]["verbatim"] and got[(10, 0)]["n_words"] == 40 and got[(13, 0)]["n_words"] == 13
     kept = decontaminate.without_leaks(df, items)
     assert kept.columns == df.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([12, 14, 15, 16, 17, None])
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([10, 12, 14, 15, 16, 17, None])
+    assert {r["text"] for r in kept.where("doc_id = 10 OR doc_id IS NULL").collect()} == {clean}
     assert decontaminate.leaks(df.limit(0), items).count() == 0
     assert decontaminate.leaks(df, items.limit(0)).count() == 0
 
@@ -514,7 +519,7 @@ def test_pipeline_on_empty_table(spark, sf_dir):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
 
@@ -594,3 +599,36 @@ def test_language_id_without_labels(spark):
         net = language_id.train(language_id.labelled_sample(part, F.lit(True)))
         got = language_id.identify(part, net).collect()
         assert all((r["lang_pred"], r["lang_score"]) == ("und", 0.0) for r in got) and len(got) == part.count()
+
+
+def test_near_copies_are_judged_by_row(spark):
+    """Ids that repeat or are missing neither remove unrelated texts nor keep copies."""
+    rng = np.random.default_rng(21)
+    base, other, third = (prose(rng, 60) for _ in range(3))
+    rows = [(1, base), (2, base + " x"), (2, other), (None, base), (None, third), (None, third), (5, third + " y"), (7, other), (2, other)]
+    rows += [(8, None), (8, None), (9, ""), (None, ""), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _id", "2 AS mark", "'x' AS root")
+    kept = ngram_join.one_per_component(df)
+    assert kept.columns == df.columns
+    want = Counter([(1, base), (2, other), (5, third + " y"), (8, None), (9, ""), (None, ""), (None, "")])
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == want
+
+
+def test_words_that_defeat_polynomials_stay_apart(spark):
+    """Thue-Morse words collide under any polynomial modulo 2**64."""
+    thue = "".join("ab"[bin(k).count("1") % 2] for k in range(4096))
+    rows = [(1, thue), (2, thue.translate(str.maketrans("ab", "ba"))), (3, thue.upper())]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 1}
+
+
+def test_mix_takes_part_of_repeated_rows(spark):
+    """A third of a source are rows equal in id and size; the words taken still come near the target."""
+    rows = [(5, "a", 100, 1.0)] * 300 + [(k, "a", 50 + k % 90, 1.0) for k in range(1000, 1200)]
+    rows += [(k, "b", 700, 1.0) for k in range(2000, 2030)] + [(None, None, None, 1.0), (3000, "c", 0, 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, weight double")
+    got = mixing.mix(df, "seed1").collect()
+    assert len(got) == len(rows)
+    for source in ("a", "b"):
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own) / 2 + 1
