@@ -306,13 +306,15 @@ def resolve(
     store: Store | None = None,
     span: int = SPAN,
     stage: Callable[[DataFrame, str], DataFrame] = stage_table,
+    numbered: bool = False,
 ) -> Resolution:
     """Resolve a batch of normalised rows, optionally against what is stored.
 
     The tagged rows feed all three results, so they are written once. A ``seq`` on several
-    rows raises.
+    rows raises; rows ``numbered`` by ``arrival.numbered`` need no look.
     """
-    arrival.require_unique(rows)
+    if not numbered:
+        arrival.require_unique(rows)
     tagged = stage(tag_rows(rows, store), "tagged")
     return Resolution(
         outcomes=outcomes(tagged, store, span),

@@ -15,7 +15,7 @@ from ledgerloom.sources import driver_tables as D
 from ledgerloom.sources import store as S
 
 _BASE = """
-base AS (
+base AS MATERIALIZED (
   SELECT o_orderkey AS k, o_orderstatus AS st, o_orderpriority AS pr, CAST(round(o_totalprice * 100) AS BIGINT) AS cents,
          o_orderdate AS midnight, o_orderdate + INTERVAL 914 MINUTE AS timed,
          translate(CAST(o_custkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AS letters,
@@ -36,7 +36,7 @@ told AS (
   SELECT k * 8 + 3, 'SMS', 'sms:' || k, timed, cents, 'UPI', NULL, 'PARSED', st = 'P', 'UPI Ref: ' || ref, * FROM base
   UNION ALL
   SELECT k * 8 + 4, 'SMS', 'sms:' || k || 'b', timed, cents, 'UPI', NULL, 'PARSED', FALSE, 'UPI Ref: ' || ref, * FROM base),
-copies AS (
+copies AS MATERIALIZED (
   SELECT *, lower(source) || '-' || lower(st) AS origin,
     CASE WHEN ref IS NOT NULL THEN 'REFERENCE' ELSE 'FIELDS' END AS strategy,
     'Shop ' || CASE WHEN length(letters) <= 2 THEN 'X' || letters ELSE 'X' || lower(letters) END AS merchant_name,
@@ -47,7 +47,7 @@ copies AS (
 # The same rules once more, as windows over the whole event list.
 _RESOLVED = """
 live AS (SELECT * FROM copies WHERE NOT (status = 'FAILED' AND amount = 0)),
-reg AS (SELECT *, sid IS NULL OR row_number() OVER (PARTITION BY source, sid ORDER BY seq) = 1 AS registers FROM live),
+reg AS MATERIALIZED (SELECT *, sid IS NULL OR row_number() OVER (PARTITION BY source, sid ORDER BY seq) = 1 AS registers FROM live),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY fp ORDER BY seq) AS pos, source = 'SMS' AND sid IS NOT NULL AS sms_id
   FROM reg WHERE registers),
@@ -57,11 +57,11 @@ held AS (
 roles AS (
   SELECT *, CASE WHEN pos = 1 THEN 'OPEN' WHEN status = 'FAILED' THEN 'OWN'
                  WHEN strategy = 'FIELDS' AND sms_id AND prior > 0 THEN 'OWN' ELSE 'JOIN' END AS role FROM held),
-tagged AS (
+tagged AS MATERIALIZED (
   SELECT *, CASE WHEN role = 'OWN' THEN fp || '+' || COALESCE(sid, CAST(seq AS VARCHAR)) ELSE fp END AS gk FROM roles),
 repeats AS (
   SELECT r.*, t.gk FROM reg r JOIN tagged t ON t.source = r.source AND t.sid = r.sid WHERE NOT r.registers),
-flags AS (
+flags AS MATERIALIZED (
   SELECT seq, gk, promo, FALSE AS is_repeat FROM tagged WHERE role IN ('OPEN', 'OWN') OR source = 'SMS' OR NOT promo
   UNION ALL SELECT seq, gk, promo, TRUE FROM repeats),
 flagged AS (SELECT *, lag(promo) OVER (PARTITION BY gk ORDER BY seq) AS before FROM flags),
@@ -207,6 +207,38 @@ def import_history(spark, sf_dir):
     return store.history().drop("batch_id")
 
 
+@query(
+    "resolve_increments",
+    _ALL
+    + """SELECT 'ledger' AS part, m.fingerprint, primary_source AS source, normalized_reference AS key, txn_id AS number,
+         concat_ws('|', amount_minor, type, CAST(txn_ts AS VARCHAR), merchant_name, reference_number, account_tail, bank_name, payment_method, parse_status,
+           CAST(is_promotional AS VARCHAR)) AS detail FROM merged m JOIN current_flag c ON c.gk = m.fingerprint
+       UNION ALL SELECT 'provenance', gk, source, sid, seq, concat_ws('|', origin, CASE WHEN status <> 'PARSED' THEN 'raw ' || k END) FROM tagged
+       UNION ALL SELECT 'outcomes', NULL, source, origin, COUNT(*), outcome FROM outcome GROUP BY source, origin, outcome""",
+)
+def resolve_increments(spark, sf_dir):
+    """The copies of every payment in three batches, each resolved against what the ones before have stored."""
+    store = S.LedgerStore(spark, shared_dir(spark, "store"))
+    rows = _normalised(spark, sf_dir)
+    for epoch, copies in enumerate(([0], [1, 2], [3, 4])):
+        arrived = rows.filter((F.col("seq") % 8).isin(copies))
+        before = store.state(arrived)
+        result = resolve.resolve(arrived, before)
+        history = resolve.import_summary(result.outcomes.withColumnRenamed("origin_label", "file_name"), "file_name", "source")
+        store.append(result, history, "import", epoch, before)
+    told = ["amount_minor", "type", F.col("txn_ts").cast("string"), "merchant_name", "reference_number", "account_tail", "bank_name", "payment_method", "parse_status"]
+    ledger = store.ledger().select(
+        F.lit("ledger").alias("part"), "fingerprint", F.col("primary_source").alias("source"), F.col("normalized_reference").alias("key"),
+        F.col("txn_id").alias("number"), F.concat_ws("|", *told, F.col("is_promotional").cast("string")).alias("detail"),
+    )
+    linked = store.sources().select(
+        F.lit("provenance"), "fingerprint", "source", "source_identifier", "seq", F.concat_ws("|", "origin_label", "raw_payload")
+    )
+    counts = store.outcomes().groupBy("source", "origin_label", "outcome").agg(F.count("*").alias("n"))
+    counted = counts.select(F.lit("outcomes"), F.lit(None).cast("string"), "source", "origin_label", "n", "outcome")
+    return ledger.union(linked).union(counted)
+
+
 _THREE = with_tables(_STATEMENTS, _DOCUMENTS, """
 told3 AS (
   SELECT 1 AS rank, 'SMS' AS source, CASE WHEN st = 'O' THEN 'CREDIT' ELSE 'DEBIT' END AS type,

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import alerts
+from ledgerloom.operators import alerts, tallies
 from ledgerloom.plans.oracle_tables import MESSAGES, with_tables
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.text_queries import _ALERTS
-from ledgerloom.session import shared_dir
+from ledgerloom.session import shared_dir, stage_table
 from ledgerloom.sources import driver_tables as D
 from ledgerloom.sources.store import LedgerStore
 from ledgerloom.streaming import ingest, live
@@ -49,20 +49,71 @@ def stream_ingest(spark, sf_dir):
     )
 
 
-_TODAY = """
-day_total AS (SELECT CAST(txn_ts AS DATE) AS day, type, CAST(SUM(amount_minor) AS BIGINT) AS total FROM alerts WHERE NOT is_promotional GROUP BY 1, 2)"""
+def _in_batches(spark, sf_dir) -> LedgerStore:
+    """The messages arriving in three micro-batches; a fourth repeats messages and retells payments under new ids."""
+    store, inbox, offsets = (shared_dir(spark, n) for n in ("store", "inbox", "offsets"))
+    store = LedgerStore(spark, store)
+    rendered = stage_table(D.messages(spark, sf_dir), "rendered")
+    again = rendered.filter(F.col("id") % 10 == 0)
+    retold = rendered.filter(F.col("body").contains("UPI/P2M/")).withColumn("id", F.col("id") + 1_000_000_000)
+    arrivals = [rendered.filter(F.col("id") % 3 == n) for n in range(3)] + [again.unionByName(retold)]
+    for arrived in arrivals:
+        arrived.write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(rendered.schema).parquet(inbox)
+        ingest.start_ingest(stream, store, offsets).awaitTermination()
+    return store
+
+
+_BATCHES = """
+numbered AS (
+  SELECT *, row_number() OVER (ORDER BY id % 3, id) AS number, id % 3 AS batch, CAST(txn_ts AS DATE) AS day FROM alerts),
+day_batch AS (
+  SELECT day, type, currency_code, batch, SUM(SUM(amount_minor)) OVER (PARTITION BY day, type, currency_code ORDER BY batch) AS upto
+  FROM numbered WHERE NOT is_promotional GROUP BY day, type, currency_code, batch)"""
 
 
 @query(
     "today_alerts",
-    with_tables(MESSAGES, _ALERTS, _TODAY)
-    + """SELECT number AS txn_id, CAST(d.day AS VARCHAR) AS day, a.type, amount_minor, total AS day_total
-         FROM (SELECT *, row_number() OVER (ORDER BY id) AS number FROM alerts) a JOIN day_total d ON d.day = CAST(a.txn_ts AS DATE) AND d.type = a.type WHERE NOT is_promotional""",
+    with_tables(MESSAGES, _ALERTS, _BATCHES)
+    + """SELECT number AS txn_id, CAST(n.day AS VARCHAR) AS day, n.type, amount_minor, CAST(upto AS BIGINT) AS day_total
+         FROM numbered n JOIN day_batch d ON d.day = n.day AND d.type = n.type AND d.currency_code = n.currency_code AND d.batch = n.batch
+         WHERE NOT is_promotional""",
 )
 def today_alerts(spark, sf_dir):
-    store = _ingested(spark, sf_dir)
-    told = ingest.created_alerts(store.outcomes(), store.ledger())
-    return told.select("txn_id", "day", "type", "amount_minor", "day_total")
+    """Four batches and a compaction: every created payment is told once, with its day's total by then."""
+    store = _in_batches(spark, sf_dir)
+    store.compact()
+    return store.alerts().select("txn_id", "day", "type", "amount_minor", "day_total")
+
+
+@query(
+    "live_months",
+    with_tables(MESSAGES, _ALERTS)
+    + """SELECT CAST(CAST(date_trunc('month', txn_ts) AS DATE) AS VARCHAR) AS month, currency_code,
+         CAST(COALESCE(SUM(CASE WHEN type = 'CREDIT' THEN amount_minor END), 0) AS BIGINT) AS income,
+         CAST(COALESCE(SUM(CASE WHEN type = 'DEBIT' THEN amount_minor END), 0) AS BIGINT) AS expenses,
+         COUNT(CASE WHEN type = 'CREDIT' THEN 1 END) AS income_count, COUNT(CASE WHEN type = 'DEBIT' THEN 1 END) AS expense_count,
+         CAST(COALESCE(SUM(CASE WHEN type = 'CREDIT' THEN amount_minor ELSE -amount_minor END), 0) AS BIGINT) AS net
+         FROM alerts WHERE NOT is_promotional GROUP BY 1, 2""",
+)
+def live_months(spark, sf_dir):
+    """Totals kept while batches arrive; merged and repeated messages count once."""
+    return tallies.month_totals(_in_batches(spark, sf_dir).tallies())
+
+
+@query(
+    "live_categories",
+    with_tables(MESSAGES, _ALERTS, """
+debits AS (
+  SELECT CAST(CAST(date_trunc('month', txn_ts) AS DATE) AS VARCHAR) AS month, currency_code, CAST(SUM(amount_minor) AS BIGINT) AS amount, COUNT(*) AS n
+  FROM alerts WHERE NOT is_promotional AND type = 'DEBIT' GROUP BY 1, 2)""")
+    + """SELECT month, CAST(NULL AS BIGINT) AS category_id, currency_code, amount, n AS transaction_count,
+         1.0::DOUBLE AS share, (SELECT COUNT(*) FROM alerts WHERE NOT is_promotional) AS transactions FROM debits""",
+)
+def live_categories(spark, sf_dir):
+    """Debits by category and the count of all payments, from the kept totals."""
+    kept = _in_batches(spark, sf_dir).tallies()
+    return tallies.category_totals(kept).crossJoin(tallies.total_count(kept))  # one row
 
 
 @query(

@@ -7,24 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom import fixed_values as V
-from ledgerloom.operators import alerts, arrival, reports, resolve
+from ledgerloom.operators import alerts, arrival, resolve
 from ledgerloom.operators.normalise import normalise
 from ledgerloom.schemas import BATCH_COLUMNS
 from ledgerloom.session import spread, stage_table
+from ledgerloom.sources.messages import with_body
 from ledgerloom.sources.store import LedgerStore
 
 
 def ingest(store: LedgerStore, parsed: DataFrame, run: str, epoch: int) -> bool:
     """Resolve one batch of parsed rows against the store and append it.
 
-    The batch is normalised, put in one arrival order and written once, because resolving
-    reads it for its keys and for its contents. Its numbers go on where the store's end, so a
-    transaction id is never given twice. Replays of a committed batch do nothing.
+    The batch is normalised and written, then put in one arrival order; its numbers go on where the store's end, so a
+    transaction id is never given twice. Rows whose reference is stored under an identity of another version
+    adopt that. Only partitions of the store are read that the batch's keys fall in. Replays of a committed batch do nothing.
     """
     if store.is_committed(run, epoch):
         return False
-    rows = arrival.numbered(stage_table(normalise(parsed), "batch"), store.next_seq())
-    result = resolve.resolve(rows, store.state())
+    rows = normalise(parsed)
+    older = store.older_identities()
+    if not older.isEmpty():
+        rows = resolve.with_reference_fallback(rows, older)
+    rows = arrival.numbered(stage_table(rows, "batch"), store.next_seq())
+    before = store.state(rows)
+    result = resolve.resolve(rows, before, numbered=True)
     messages = F.col("source") == "SMS"
     labelled = result.outcomes.withColumn(
         "file_name", F.when(messages, V.MESSAGES_BATCH_NAME).otherwise(F.col("origin_label"))
@@ -40,7 +46,7 @@ def ingest(store: LedgerStore, parsed: DataFrame, run: str, epoch: int) -> bool:
         )
         .otherwise(F.col("error_message")),
     )
-    return store.append(result, worded, run, epoch)
+    return store.append(result, worded, run, epoch, before)
 
 
 def start_ingest(
@@ -50,12 +56,12 @@ def start_ingest(
 
     Offsets are committed after the sink, and the sink recognises a batch it has
     committed, so a crash at any point neither loses nor doubles a message. A full
-    rescan is the same call with a new checkpoint.
+    rescan is the same call with a new checkpoint. Bodies are trimmed and empty ones left out; all rows read are counted.
     """
     scanned = messages.observe("scan", F.count("*").alias("scanned"), F.max("id").alias("newest_id"))
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        ingest(store, alerts.extract(spread(batch), zone), checkpoint, epoch)
+        ingest(store, alerts.extract(spread(with_body(batch)), zone), checkpoint, epoch)
 
     return (
         scanned.writeStream.queryName("ledger-ingest")
@@ -71,24 +77,3 @@ def message_stream(spark: SparkSession, path: str, schema: str, files_per_batch:
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)
-
-
-def created_alerts(outcomes: DataFrame, ledger: DataFrame) -> DataFrame:
-    """For each newly created real payment: its amount and its day's total so far.
-
-    One snapshot of the day totals serves the whole batch. Of stored outcomes, which carry a
-    ``batch_id``, only the newest batch is told, so nothing is told twice.
-    """
-    if "batch_id" in outcomes.columns:
-        newest = outcomes.agg(F.max("batch_id").alias("batch_id"))  # one row
-        outcomes = outcomes.join(F.broadcast(newest), "batch_id", "left_semi")
-    fresh = outcomes.filter(F.col("outcome") == "CREATED").select(F.col("seq").alias("txn_id"))
-    created = ledger.join(fresh, "txn_id", "left_semi").filter(~F.col("is_promotional"))
-    totals = reports.direction_totals(ledger)
-    credit = F.col("type") == "CREDIT"
-    return created.withColumn("day", F.col("txn_ts").cast("date")).join(totals, "day").select(
-        "txn_id", "day", "type", "amount_minor", "currency_code",
-        F.coalesce("merchant_name", F.when(credit, "Money in").otherwise("Money out")).alias("title"),
-        F.when(credit, F.col("credit_total")).otherwise(F.col("debit_total")).alias("day_total"),
-        F.when(credit, F.col("credit_currency")).otherwise(F.col("debit_currency")).alias("total_currency"),
-    )
