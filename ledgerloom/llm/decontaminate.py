@@ -90,11 +90,12 @@ def _windows(docs: DataFrame) -> DataFrame:
         last, size = size, size * 2
     differing = F.zip_with(f"words{last}", f"plain{last}", lambda w, p: F.when(w != p, p))
     none = F.array().cast("array<long>")
+    # The size is made before: after it, each exploded row would carry the whole list.
+    listed = hashed.select(
+        "doc", F.size(f"words{last}").alias("n"), F.concat(f"words{last}", F.coalesce(differing, none)).alias("all")
+    )
     # The outer form: for the inner one Spark infers a filter that evaluates all of this again.
-    exploded = hashed.select(
-        "doc", F.size(f"words{last}").alias("n"),
-        F.posexplode_outer(F.concat(f"words{last}", F.coalesce(differing, none))).alias("at", "window"),
-    )
+    exploded = listed.select("doc", "n", F.posexplode_outer("all").alias("at", "window"))
     return exploded.where(F.col("window").isNotNull()).select("doc", (F.col("at") % F.col("n")).alias("at"), "window")
 
 
@@ -281,6 +282,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated rows; all columns stay. Rows that share an id, or have none, are judged each for itself."""
     names = docs.columns
-    gone = leaks(docs, benchmark).where("contaminated").select(F.struct("doc_id", F.col("text_mark").alias("mark")).alias("gone")).distinct()
+    gone = leaks(docs, benchmark).where("contaminated").select(F.struct("doc_id", F.col("text_mark").alias("mark")).alias("gone"))
+    gone = staged(gone.distinct(), "leaking")
+    gone = counted(gone, gone.count())
     packed = docs.select(_document().alias("doc"), F.struct(*names).alias("row"))
     return packed.join(gone, F.col("doc") == F.col("gone"), "left_anti").select("row.*")
