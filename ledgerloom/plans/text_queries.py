@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as V
 from ledgerloom.functions import dates, money, text
-from ledgerloom.operators import alerts, cells, model, statement_rows, statement_text
+from ledgerloom.operators import alerts, cells, model, statement_files, statement_rows, statement_text
 from ledgerloom.plans.oracle_tables import MESSAGES, with_tables
 from ledgerloom.plans.registry import query
 from ledgerloom.session import spread
@@ -384,6 +384,46 @@ def document_status(spark, sf_dir):
     )
 
 
+_FILES = f"""
+kept_kind AS (
+  SELECT 'stmt-' || code AS kind, o_orderkey // {D.STATEMENT_ORDERS} AS block, 'CSV' AS source,
+         CASE WHEN pr = '5-LOW' THEN 2 ELSE 1 END AS n FROM stmt
+  UNION ALL
+  SELECT 'doc-' || code, o_orderkey // {D.STATEMENT_ORDERS}, 'PDF',
+         CASE st WHEN 'F' THEN 3 WHEN 'O' THEN 2 ELSE CASE WHEN pr = '5-LOW' THEN 3 ELSE 6 END END FROM stmt),
+written AS (
+  SELECT kind, kind || '-' || block || CASE WHEN kind = 'stmt-f1' THEN '.txt' WHEN source = 'PDF' THEN '.pdf' ELSE '.csv' END AS file_name,
+         CASE WHEN kind <> 'stmt-f1' THEN source END AS source,
+         CASE WHEN kind = 'stmt-f1' THEN 0 ELSE SUM(n) END AS lines, COUNT(*) AS orders
+  FROM kept_kind GROUP BY kind, block, source
+  UNION ALL SELECT 'empty', 'stmt-empty.csv', 'CSV', 0, 0),
+judged AS (
+  SELECT *, CASE WHEN kind = 'stmt-f1' THEN '{V.FILE_UNSUPPORTED_MESSAGE}'
+                 WHEN kind IN ('empty', 'stmt-p3', 'stmt-f4') THEN '{V.CSV_UNRECOGNISED_MESSAGE}'
+                 WHEN kind = 'stmt-o4' THEN '{V.BATCH_FAILED_MESSAGE}'
+                 WHEN kind = 'doc-f2' THEN '{V.TEXT_BLANK_MESSAGE}'
+                 WHEN kind = 'doc-o3' THEN '{V.TEXT_UNRECOGNISED_MESSAGE}' END AS message
+  FROM written)"""
+
+
+@query(
+    "statement_files",
+    with_tables(_STATEMENTS, _FILES)
+    + """SELECT file_name, row_number() OVER (ORDER BY file_name) - 1 AS file_seq, source, CAST(lines AS BIGINT) AS lines,
+           CASE WHEN kind = 'stmt-o2' THEN CAST(lines AS BIGINT) ELSE 0 END AS repaired_lines,
+           CASE WHEN message IS NULL THEN orders ELSE 0 END AS rows,
+           CASE WHEN message IS NULL THEN 'READ' ELSE 'FAILED' END AS status, message,
+           CASE WHEN kind = 'stmt-o4' THEN 'csv-empty-' || left(sha256(file_name), 12) END AS stub
+         FROM judged""",
+)
+def statement_files_query(spark, sf_dir):
+    imported = statement_files.import_files(*D.statement_files(spark, sf_dir))
+    stubs = imported.parsed.filter(F.col("parse_status") == "FAILED").select(
+        F.col("origin_label").alias("file_name"), F.col("source_identifier").alias("stub")
+    )
+    return imported.files.join(stubs, "file_name", "left")
+
+
 @query(
     "split_cells",
     with_tables(_STATEMENTS)

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.session import spread
+from ledgerloom.session import shared_dir, spread
+from ledgerloom.sources import statements
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -274,6 +275,47 @@ def statement_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Orders whose lines share one written statement; more orders give more statements.
+STATEMENT_ORDERS = 32768
+
+
+def statement_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``(files, lines)`` of statements written to the shared folder and read from there.
+
+    All statement lines, cut into statements of at most ``STATEMENT_ORDERS`` orders each, plus one
+    file without bytes. Some kinds are spoilt: stmt-f1 has an unknown suffix, stmt-o2 ends every
+    line in a byte that is not UTF-8, stmt-p3 and doc-f2 are blank, stmt-f4 and doc-o3 hold no
+    dates or amounts, and in stmt-o4 every line is boilerplate.
+    """
+    csv, text = statement_csv_lines(spark, sf_dir), statement_text_lines(spark, sf_dir)
+
+    def cut(lines: DataFrame, per_order: int) -> DataFrame:
+        block = F.floor((F.col("line_no") - 1) / (STATEMENT_ORDERS * per_order)).cast("string")
+        return lines.select(
+            F.regexp_extract("file_name", r"^(.*)\.", 1).alias("kind"), block.alias("block"), "line_no", "line"
+        )
+
+    both = cut(csv, 2).unionByName(cut(text, 8))
+    kind = F.col("kind")
+    suffix = F.when(kind == "stmt-f1", ".txt").when(kind.startswith("doc-"), ".pdf").otherwise(".csv")
+    line = (
+        F.when(kind.isin("stmt-p3", "doc-f2"), F.lit("   "))
+        .when(kind.isin("stmt-f4", "doc-o3"), F.lit("see,branch"))
+        .when(kind == "stmt-o2", F.concat("line", F.unhex(F.lit("FF")).cast("string")))
+        .when(kind == "stmt-o4", F.concat(F.lit("Disclaimer: note,"), "line"))
+        .otherwise(F.col("line"))
+    )
+    root = shared_dir(spark, "statement-files")
+    named = both.select(F.concat("kind", F.lit("-"), "block", suffix).alias("statement"), "line_no", line.alias("value"))
+    ordered = named.repartition("statement").sortWithinPartitions("statement", "line_no")
+    ordered.select("statement", "value").write.partitionBy("statement").text(root)
+    named.limit(0).select("value").write.text(f"{root}/statement=stmt-empty.csv")
+    files = statements.list_files(
+        spark, root, name=lambda path: F.regexp_extract(path, "/statement=([^/]+)/", 1)
+    )
+    return files, statements.read_lines(spark, root, files=files)
+
+
 def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A message for each order of the statement files, with the very number its CSV line gets."""
     rows = _statement_orders(spark, sf_dir, "", "")
