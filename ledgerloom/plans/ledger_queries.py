@@ -168,6 +168,48 @@ def txn_detail(spark, sf_dir):
     return rows.select("txn_id", "item", "value", "extra", "at")
 
 
+# Orders have seven lines at most, so lists of three make payments with several chunks.
+@query(
+    "txn_full_detail",
+    with_tables(LEDGER, SOURCES, LABELS, BRIDGE)
+    + f""", listed AS (
+          SELECT txn_id, (row_number() OVER (PARTITION BY txn_id ORDER BY imported_at, source, source_identifier, origin_label NULLS FIRST) - 1) // 3 AS chunk,
+                 imported_at, source, source_identifier, origin_label FROM sources),
+        tagged AS (
+          SELECT txn_id, (row_number() OVER (PARTITION BY txn_id ORDER BY id, name) - 1) // 3 AS chunk, id, name
+          FROM bridge JOIN label_dim ON id = label_id),
+        source_lists AS (
+          SELECT txn_id, chunk, string_agg(source || ':' || source_identifier || '@' || COALESCE(origin_label, ''), ' '
+                 ORDER BY imported_at, source, source_identifier, origin_label NULLS FIRST) AS sources FROM listed GROUP BY ALL),
+        label_lists AS (SELECT txn_id, chunk, string_agg(name, '/' ORDER BY id, name) AS labels FROM tagged GROUP BY ALL),
+        lists AS (
+          SELECT COALESCE(s.txn_id, t.txn_id) AS txn_id, COALESCE(s.chunk, t.chunk) AS chunk, sources, labels
+          FROM source_lists s FULL JOIN label_lists t ON s.txn_id = t.txn_id AND s.chunk = t.chunk)
+        SELECT l.txn_id, amount_minor, currency_code, type, CAST(txn_ts AS VARCHAR) AS txn_ts, description, merchant_name,
+               reference_number, account_tail, bank_name, notes, category_id, k.name AS category, payment_method, primary_source,
+               CASE WHEN primary_source = 'PDF' THEN 'PARTIALLY_PARSED' ELSE 'PARSED' END AS parse_status,
+               is_promotional, is_ignored, COALESCE(chunk, 0) AS chunk, COALESCE(sources, '') AS sources, COALESCE(labels, '') AS labels
+        FROM ledger l LEFT JOIN (VALUES {_CATEGORY_VALUES}) k(id, name) ON k.id = category_id
+        LEFT JOIN lists x ON x.txn_id = l.txn_id""",
+)
+def txn_full_detail(spark, sf_dir):
+    rows = details.full_detail(
+        D.ledger(spark, sf_dir), D.categories(spark), D.sources(spark, sf_dir),
+        D.transaction_labels(spark, sf_dir), D.labels(spark, sf_dir), size=3,
+    )
+
+    def told(x):
+        return F.concat(x["source"], F.lit(":"), x["source_identifier"], F.lit("@"), F.coalesce(x["origin_label"], F.lit("")))
+
+    return rows.select(
+        "txn_id", "amount_minor", "currency_code", "type", "txn_ts", "description", "merchant_name", "reference_number",
+        "account_tail", "bank_name", "notes", "category_id", "category", "payment_method", "primary_source", "parse_status",
+        "is_promotional", "is_ignored", "chunk",
+        F.array_join(F.transform("sources", told), " ").alias("sources"),
+        F.array_join(F.transform("labels", lambda x: x["name"]), "/").alias("labels"),
+    )
+
+
 def _edits(spark, sf_dir):
     line = D.table(spark, sf_dir, "lineitem")
     flag, category = F.col("l_returnflag"), F.col("l_returnflag") == "A"
