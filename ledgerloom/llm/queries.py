@@ -87,8 +87,8 @@ def op8_ring_sharding(spark: SparkSession, directory: str) -> DataFrame:
 
 def op9_suffix_dedup(spark: SparkSession, directory: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, directory, "documents"))
-    # The text that is left; a span may end inside a character, so its bytes are decoded leniently.
-    return found.withColumn("kept_text", F.decode("kept", "UTF-8")).drop("kept")
+    # The text that is left; a span may end inside a character, whose other bytes become U+FFFD.
+    return found.withColumn("kept_text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op10_chat_format(spark: SparkSession, directory: str) -> DataFrame:

@@ -21,6 +21,7 @@ from ledgerloom.llm import (
     mixing,
     ngram_join,
     quality_rules,
+    queries,
     ring_sharding,
     secret_scan,
     suffix_dedup,
@@ -632,3 +633,13 @@ def test_mix_takes_part_of_repeated_rows(spark):
     for source in ("a", "b"):
         own = [r for r in got if r["source"] == source]
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own) / 2 + 1
+
+
+def test_op9_spans_that_end_inside_a_character(spark, tmp_path):
+    rows = [(1, "é" * 300 + "ê one"), (2, "é" * 300 + "ë two")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op9_suffix_dedup(spark, str(tmp_path)).collect()}
+    # The characters after the copies share their first byte.
+    assert [got[i]["kept_text"] for i in (1, 2)] == ["� one", "� two"]
+    assert [(got[i]["n_bytes"], got[i]["n_removed"]) for i in (1, 2)] == [(606, 601), (606, 601)]
+    assert got[1]["kept_sha256"] == hashlib.sha256(b"\xaa one").hexdigest()
