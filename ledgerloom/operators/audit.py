@@ -24,6 +24,38 @@ def duplicate_summary(name: str, table: DataFrame, *keys: str) -> DataFrame:
     ).select("audit", "keys", "rows")
 
 
+def unique_keys(*tables: tuple[DataFrame, dict[str, list[str]]]) -> DataFrame:
+    """All unique keys of several tables counted in one pass over each table.
+
+    Every table comes with its audits, a name and the columns of its key. A row tells one key per audit; keys with
+    a NULL part are always distinct and left out. Repeats are summed map-side, so a key that a third of all rows
+    share is one row per task after the first count. Audits without repeats are told with zeros.
+    """
+
+    def told(columns: list[str]) -> Column:
+        parts = [F.col(c).cast("string") for c in columns]
+        complete = reduce(lambda a, b: a & b, (p.isNotNull() for p in parts))
+        return F.when(complete, F.to_json(F.array(*parts)))
+
+    keys = []
+    for table, audits in tables:
+        entry = [F.struct(F.lit(name).alias("audit"), told(c).alias("key")) for name, c in audits.items()]
+        keys.append(table.select(F.explode(F.array(*entry)).alias("e")).select("e.audit", "e.key"))
+    counted = reduce(DataFrame.unionByName, keys).filter(F.col("key").isNotNull()).groupBy("audit", "key").agg(
+        F.count("*").alias("rows")
+    )
+    repeated = F.col("rows") > 1
+    found = counted.groupBy("audit").agg(
+        F.count_if(repeated).alias("keys"), F.sum(F.when(repeated, F.col("rows")).otherwise(0)).alias("rows")
+    )
+    spark = tables[0][0].sparkSession
+    names = spark.createDataFrame([(n,) for _, audits in tables for n in audits], "audit string")
+    zero = F.lit(0).cast("bigint")
+    return names.join(found, "audit", "left").select(
+        "audit", F.coalesce("keys", zero).alias("keys"), F.coalesce("rows", zero).alias("rows")
+    )
+
+
 DOMAINS: dict[str, list[str]] = {
     "type": V.TRANSACTION_TYPES,
     "payment_method": V.PAYMENT_METHODS,

@@ -145,23 +145,35 @@ def evaluate(labelled: DataFrame, model: Coefficients) -> DataFrame:
     return scored.unionByName(overall)
 
 
-def message_sources(sources: DataFrame) -> DataFrame:
-    """Per transaction: first non-blank message text and first sender."""
-    order = F.struct("imported_at", "source_identifier")
+IMPORT_ORDER = ("imported_at", "source_identifier")
+
+
+def message_sources(sources: DataFrame, key: str = "txn_id", order: tuple[str, ...] = IMPORT_ORDER) -> DataFrame:
+    """Per transaction: first non-blank message text and first sender.
+
+    A store's sources are keyed by ``fingerprint`` and ordered by their arrival number ``seq``.
+    """
+    order = F.struct(*order)
     payload = blank_to_null(F.col("raw_payload"))
-    return sources.filter(F.col("source") == "SMS").groupBy("txn_id").agg(
+    return sources.filter(F.col("source") == "SMS").groupBy(key).agg(
         F.min_by(payload, F.when(payload.isNotNull(), order)).alias("message"),
         F.min_by("origin_label", F.when(F.col("origin_label").isNotNull(), order)).alias("sender"),
     )
 
 
-def rescore(candidates: DataFrame, sources: DataFrame, model: Coefficients = BUILT_IN) -> DataFrame:
+def rescore(
+    candidates: DataFrame,
+    sources: DataFrame,
+    model: Coefficients = BUILT_IN,
+    key: str = "txn_id",
+    order: tuple[str, ...] = IMPORT_ORDER,
+) -> DataFrame:
     """Candidate rows with ``hide`` set where the stored text is not a payment.
 
     Text: stored message, else description, else merchant + bank + notes; rows
     without any text are scanned but never hidden. Rows only ever become hidden.
     """
-    joined = candidates.join(message_sources(sources), "txn_id", "left")
+    joined = candidates.join(message_sources(sources, key, order), key, "left")
     fallback = F.concat_ws(" ", "merchant_name", "bank_name", "notes")
     body = F.coalesce("message", blank_to_null(F.col("description")), blank_to_null(fallback))
     texted = joined.withColumn("body", body)
@@ -175,10 +187,10 @@ def rescore_summary(rescored: DataFrame) -> DataFrame:
     )
 
 
-def hide_rescored(ledger: DataFrame, rescored: DataFrame) -> DataFrame:
+def hide_rescored(ledger: DataFrame, rescored: DataFrame, key: str = "txn_id") -> DataFrame:
     """Apply the verdicts to the ledger."""
-    hidden = rescored.filter("hide").select("txn_id", F.lit(True).alias("_hide"))
+    hidden = rescored.filter("hide").select(key, F.lit(True).alias("_hide"))
     flag = F.col("is_promotional") | F.coalesce("_hide", F.lit(False))
-    return ledger.join(hidden, "txn_id", "left").select(
+    return ledger.join(hidden, key, "left").select(
         *[flag.alias(c) if c == "is_promotional" else F.col(c) for c in ledger.columns]
     )

@@ -115,14 +115,14 @@ def predicates(spec: LedgerFilter) -> list[Column]:
     return active
 
 
-def with_source(ledger: DataFrame, sources: DataFrame, source: str) -> DataFrame:
+def with_source(ledger: DataFrame, sources: DataFrame, source: str, key: str = "txn_id") -> DataFrame:
     """Transactions a source contributed to.
 
     The contributing ids are deduplicated before the join: a transaction with any
     number of source rows ships one id per task.
     """
-    ids = sources.filter(F.col("source") == source).select("txn_id").distinct()
-    return ledger.join(ids, "txn_id", "left_semi")
+    ids = sources.filter(F.col("source") == source).select(key).distinct()
+    return ledger.join(ids, key, "left_semi")
 
 
 def search(
@@ -137,7 +137,7 @@ def search(
     return rows.orderBy(F.desc("txn_ts"), F.desc("txn_id")) if ordered else rows
 
 
-def rescore_candidates(ledger: DataFrame, sources: DataFrame) -> DataFrame:
+def rescore_candidates(ledger: DataFrame, sources: DataFrame, key: str = "txn_id") -> DataFrame:
     """Visible rows backed by a message: primary source SMS or any SMS source.
 
     Two disjoint branches instead of an OR around EXISTS: rows whose primary source
@@ -146,7 +146,7 @@ def rescore_candidates(ledger: DataFrame, sources: DataFrame) -> DataFrame:
     shown = ledger.filter(~F.col("is_promotional") & ~F.col("is_ignored"))
     primary = shown.filter(F.col("primary_source") == "SMS")
     others = shown.filter(~F.col("primary_source").eqNullSafe("SMS"))
-    return primary.unionByName(with_source(others, sources, "SMS"))
+    return primary.unionByName(with_source(others, sources, "SMS", key))
 
 
 def lookup(table: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:

@@ -361,6 +361,40 @@ def audit_unique(spark, sf_dir):
     ).unionByName(audit.duplicate_summary("txn_id", ledger, "txn_id"))
 
 
+# Planted clashes: every tenth payment told again, lines that share an id, label names and pairs told twice.
+@query(
+    "audit_keys",
+    with_tables(LEDGER, SOURCES, LABELS, BRIDGE)
+    + """, told AS (SELECT * FROM ledger UNION ALL SELECT * FROM ledger WHERE txn_id % 10 = 0),
+      lines AS (SELECT source, CASE WHEN txn_id % 7 = 0 THEN txn_id || '-' ELSE source_identifier END AS id FROM sources WHERE txn_id % 11 > 0),
+      names AS (SELECT lower(split_part(name, ' ', 1)) AS name FROM label_dim),
+      pairs AS (SELECT txn_id, label_id FROM bridge UNION ALL SELECT txn_id, label_id FROM bridge WHERE label_id % 3 = 0),
+      keys AS (
+        SELECT 'fingerprint' AS audit, currency_code || amount_minor || '/' || reference_number AS key FROM told
+        UNION ALL SELECT 'txn_id', CAST(txn_id AS VARCHAR) FROM told
+        UNION ALL SELECT 'source id', source || ' ' || id FROM lines
+        UNION ALL SELECT 'label name', name FROM names
+        UNION ALL SELECT 'label pair', txn_id || ' ' || label_id FROM pairs),
+      counted AS (SELECT audit, COUNT(*) AS n FROM keys WHERE key IS NOT NULL GROUP BY audit, key)
+      SELECT audit, COUNT(*) FILTER (WHERE n > 1) AS keys, CAST(COALESCE(SUM(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS rows FROM counted GROUP BY audit
+      UNION ALL SELECT 'category name', 0, 0""",
+)
+def audit_keys(spark, sf_dir):
+    ledger, lines, pairs = D.ledger(spark, sf_dir), D.sources(spark, sf_dir), D.transaction_labels(spark, sf_dir)
+    own = F.concat(F.col("currency_code"), F.col("amount_minor"), F.lit("/"), F.col("reference_number"))
+    told = ledger.unionByName(ledger.filter(F.col("txn_id") % 10 == 0)).withColumn("fingerprint", own)
+    shared = F.when(F.col("txn_id") % 7 == 0, F.concat("txn_id", F.lit("-"))).otherwise(F.col("source_identifier"))
+    named = D.labels(spark, sf_dir).select(F.lower(F.split_part("name", F.lit(" "), F.lit(1))).alias("name"))
+    lines = lines.withColumn("source_identifier", F.when(F.col("txn_id") % 11 > 0, shared))
+    return audit.unique_keys(
+        (told, {"fingerprint": ["fingerprint"], "txn_id": ["txn_id"]}),
+        (lines, {"source id": ["source", "source_identifier"]}),
+        (named, {"label name": ["name"]}),
+        (D.categories(spark), {"category name": ["name"]}),
+        (pairs.unionByName(pairs.filter(F.col("label_id") % 3 == 0)), {"label pair": ["txn_id", "label_id"]}),
+    )
+
+
 @query(
     "audit_domain",
     with_tables(LEDGER, SOURCES)

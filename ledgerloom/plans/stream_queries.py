@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import alerts, tallies
+from ledgerloom.operators import alerts, rescoring, tallies
 from ledgerloom.plans.oracle_tables import MESSAGES, with_tables
 from ledgerloom.plans.registry import query
-from ledgerloom.plans.text_queries import _ALERTS
+from ledgerloom.plans.text_queries import _ALERTS, _LOGIT
 from ledgerloom.session import shared_dir, stage_table
 from ledgerloom.sources import driver_tables as D
 from ledgerloom.sources.store import LedgerStore
-from ledgerloom.streaming import ingest, live
+from ledgerloom.streaming import ingest, live, scans
 
 
 def _messages(spark, sf_dir):
@@ -144,3 +146,78 @@ def stream_dedup(spark, sf_dir):
         .trigger(availableNow=True).start().awaitTermination()
     )
     return spark.read.parquet(path).groupBy("address").agg(F.count("*").alias("messages"))
+
+
+def _scanned(spark, sf_dir, consume) -> scans.ScanLog:
+    """Four scans: the first ten days; nothing new; the rest, with older messages told again; nothing new at an earlier clock."""
+    inbox, offsets = shared_dir(spark, "inbox"), shared_dir(spark, "offsets")
+    log = scans.ScanLog(spark, shared_dir(spark, "scans"))
+    rendered = stage_table(D.messages(spark, sf_dir), "rendered")
+    first = rendered.agg(F.date_trunc("day", F.min("received_at")).cast("timestamp_ntz")).first()[0] or dt.datetime(2024, 1, 1)
+    border = first + dt.timedelta(days=10)
+    early = F.col("received_at") < F.lit(border).cast("timestamp_ntz")
+    arrivals = [rendered.filter(early), None, rendered.filter(~early | (F.col("id") % 10 == 0)), None]
+    for arrived, days in zip(arrivals, (0, 2, 0, 1), strict=True):
+        if arrived is not None:
+            arrived.write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(rendered.schema).parquet(inbox)
+        scans.scan(stream, log, offsets, lambda batch, epoch: consume(offsets, batch, epoch), border + dt.timedelta(days=days))
+    return log
+
+
+_SCANNED = """
+border AS (SELECT date_trunc('day', MIN(received_at)) + INTERVAL 10 DAY AS edge FROM messages),
+arrived AS (
+  SELECT id, received_at, edge, CASE WHEN received_at < edge THEN 1 ELSE 3 END AS scan, received_at >= edge AND received_at <= edge + INTERVAL 2 DAY AS late FROM messages, border
+  UNION ALL SELECT id, received_at, edge, 3, TRUE FROM messages, border WHERE id % 10 = 0 AND received_at < edge)"""
+
+
+@query(
+    "scan_counters",
+    with_tables(MESSAGES, _ALERTS, _SCANNED)
+    + """, counted AS (
+      SELECT scan, COUNT(*) FILTER (WHERE NOT late) AS scanned, COUNT(*) FILTER (WHERE late) AS late,
+             COUNT(*) FILTER (WHERE NOT late AND id IN (SELECT id FROM alerts)) AS parsed, MAX(id) FILTER (WHERE NOT late) AS newest_id,
+             MAX(received_at) FILTER (WHERE NOT late) AS cursor_at, arg_max(id, received_at) FILTER (WHERE NOT late) AS cursor_id
+      FROM arrived GROUP BY scan)
+      SELECT * REPLACE (CAST(cursor_at AS VARCHAR) AS cursor_at) FROM counted, (VALUES ('batch'), ('end')) k(kind)
+      UNION ALL SELECT 2, 0, 0, 0, NULL, CAST(edge + INTERVAL 2 DAY AS VARCHAR), 9223372036854775807, 'end' FROM border
+      UNION ALL SELECT 4, 0, 0, 0, NULL, CAST(cursor_at AS VARCHAR), cursor_id, 'end' FROM counted WHERE scan = 3""",
+)
+def scan_counters(spark, sf_dir):
+    """Per scan and batch: messages read, late ones, alerts made of them, newest id and the cursor reached."""
+    log = _scanned(spark, sf_dir, lambda run, batch, epoch: alerts.extract(batch).count())
+    return log.rows().filter(F.col("kind") != "begin").drop("run", "epoch")
+
+
+@query(
+    "strict_cursor",
+    with_tables(MESSAGES, _ALERTS, _SCANNED)
+    + """SELECT row_number() OVER (ORDER BY scan, id) AS txn_id, amount_minor, type, CAST(txn_ts AS VARCHAR) AS txn_ts, is_promotional
+         FROM alerts JOIN arrived USING (id) WHERE NOT late""",
+)
+def strict_cursor(spark, sf_dir):
+    """The ledger after scans with a strict cursor: late messages are never read."""
+    store = LedgerStore(spark, shared_dir(spark, "store"))
+
+    def consume(run, batch, epoch):
+        ingest.ingest_messages(store, batch, run, epoch)
+        return store.parsed_rows(run, epoch)
+
+    _scanned(spark, sf_dir, consume)
+    return store.ledger().select("txn_id", "amount_minor", "type", "txn_ts", "is_promotional")
+
+
+@query(
+    "rescore_store",
+    with_tables(MESSAGES)
+    + f"""SELECT row_number() OVER (ORDER BY id) AS txn_id, cents AS amount_minor,
+          1.0 / (1.0 + exp(-CAST({_LOGIT} AS DOUBLE))) >= 0.72 AS is_promotional FROM messages WHERE event_type <> 'error'""",
+)
+def rescore_store(spark, sf_dir):
+    """A stored ledger whose rows were all shown once, judged anew from its own texts."""
+    store = _ingested(spark, sf_dir)
+    shown = store.ledger().filter("is_promotional").withColumn("is_promotional", F.lit(False))
+    store.amend(shown, "all-shown")
+    rescoring.rescore_store(store, "rescore")
+    return store.ledger().select("txn_id", "amount_minor", "is_promotional")

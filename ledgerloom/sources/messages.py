@@ -28,8 +28,8 @@ def with_body(messages: DataFrame) -> DataFrame:
     return messages.withColumn("body", strip(F.col("body"))).filter(F.length("body") > 0)
 
 
-def read_after(messages: DataFrame, cursor: Cursor) -> DataFrame:
-    """Messages after the cursor, oldest first.
+def is_after(messages: DataFrame, cursor: Cursor) -> Column:
+    """Whether a message lies after the cursor; one without time or id never does.
 
     The redundant lower bound is a plain conjunct, so it reaches the scan and skips
     row groups.
@@ -37,7 +37,12 @@ def read_after(messages: DataFrame, cursor: Cursor) -> DataFrame:
     at = F.lit(cursor.received_at.isoformat(sep=" ")).cast(messages.schema["received_at"].dataType)
     received = F.col("received_at")
     later = (received > at) | ((received == at) & (F.col("id") > cursor.id))
-    return messages.filter((received >= at) & later).orderBy("received_at", "id")
+    return (received >= at) & later
+
+
+def read_after(messages: DataFrame, cursor: Cursor) -> DataFrame:
+    """Messages after the cursor, oldest first."""
+    return messages.filter(is_after(messages, cursor)).orderBy("received_at", "id")
 
 
 def newest(messages: DataFrame) -> DataFrame:

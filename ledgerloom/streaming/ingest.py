@@ -49,6 +49,11 @@ def ingest(store: LedgerStore, parsed: DataFrame, run: str, epoch: int) -> bool:
     return store.append(result, worded, run, epoch, before)
 
 
+def ingest_messages(store: LedgerStore, batch: DataFrame, run: str, epoch: int, zone: str | None = None) -> bool:
+    """Extract one batch of messages and ingest it; bodies are trimmed and empty ones left out."""
+    return ingest(store, alerts.extract(spread(with_body(batch)), zone), run, epoch)
+
+
 def start_ingest(
     messages: DataFrame, store: LedgerStore, checkpoint: str, zone: str | None = None
 ) -> StreamingQuery:
@@ -61,7 +66,7 @@ def start_ingest(
     scanned = messages.observe("scan", F.count("*").alias("scanned"), F.max("id").alias("newest_id"))
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        ingest(store, alerts.extract(spread(with_body(batch)), zone), checkpoint, epoch)
+        ingest_messages(store, batch, checkpoint, epoch, zone)
 
     return (
         scanned.writeStream.queryName("ledger-ingest")
