@@ -83,10 +83,11 @@ def augment(training: DataFrame) -> DataFrame:
 def split_holdout(training: DataFrame, share: float = 0.25, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """Stratified hold-out decided by a hash of the row, stable under retries.
 
-    The hash is independent of the class, so each class gives the same share.
+    The hash is independent of the class, so each class gives the same share. It is MD5, so any engine can tell
+    which rows were held out.
     """
-    unit = (F.xxhash64(F.lit(seed), "label", "body", "address").bitwiseAND(F.lit((1 << 30) - 1))) / float(1 << 30)
-    held = unit < share
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("label").cast("string"), "address", "body"))
+    held = F.conv(F.left(digest, F.lit(8)), 16, 10).cast("bigint") / float(1 << 32) < share
     return training.filter(~held), training.filter(held)
 
 

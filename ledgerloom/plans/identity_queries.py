@@ -370,16 +370,19 @@ def _training(spark, sf_dir):
     )
 
 
+_SWAPPED = """
+swapped AS (
+  SELECT CASE WHEN event_type IN ('purchase', 'signup') THEN 0 ELSE 1 END AS label, address, body FROM messages
+  UNION ALL
+  SELECT CASE WHEN event_type IN ('purchase', 'signup') THEN 0 ELSE 1 END, address,
+         CASE WHEN event_type IN ('purchase', 'signup') THEN replace(body, 'INR', 'Rs.')
+              ELSE replace(replace(body, 'Rs ', 'INR '), 'Rs.', 'INR ') END FROM messages)"""
+
+
 @query(
     "augment_training",
-    with_tables(MESSAGES)
-    + """, swapped AS (
-      SELECT CASE WHEN event_type IN ('purchase', 'signup') THEN 0 ELSE 1 END AS label, body FROM messages
-      UNION ALL
-      SELECT CASE WHEN event_type IN ('purchase', 'signup') THEN 0 ELSE 1 END,
-             CASE WHEN event_type IN ('purchase', 'signup') THEN replace(body, 'INR', 'Rs.')
-                  ELSE replace(replace(body, 'Rs ', 'INR '), 'Rs.', 'INR ') END FROM messages)
-      SELECT label, COUNT(*) AS rows, CAST(SUM(length(body)) AS BIGINT) AS letters FROM swapped GROUP BY label""",
+    with_tables(MESSAGES, _SWAPPED)
+    + """SELECT label, COUNT(*) AS rows, CAST(SUM(length(body)) AS BIGINT) AS letters FROM swapped GROUP BY label""",
 )
 def augment_training(spark, sf_dir):
     table = model.augment(_training(spark, sf_dir))
@@ -388,7 +391,16 @@ def augment_training(spark, sf_dir):
     )
 
 
-@query("train_model")
+# The rendered classes can be told apart, so a fitted model has to get every row right; a quarter of the digests is held out.
+@query(
+    "train_model",
+    with_tables(MESSAGES, _SWAPPED)
+    + """, sets AS (
+      SELECT 'full' AS "set", label FROM swapped
+      UNION ALL SELECT 'holdout', label FROM swapped WHERE left(md5('7|' || label || '|' || address || '|' || body), 1) < '4')
+      SELECT "set", CAST(label AS VARCHAR) AS class, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, COUNT(*) AS support FROM sets GROUP BY "set", label
+      UNION ALL SELECT "set", 'accuracy', NULL, 1.0, COUNT(*) FROM sets GROUP BY ALL""",
+)
 def train_model(spark, sf_dir):
     """Train on the augmented messages, report on the hold-out and the full set."""
     table = model.augment(_training(spark, sf_dir))
