@@ -116,3 +116,15 @@ def test_rescore(spark):
     out = model.rescore(ledger, sources)
     assert {r["txn_id"]: r["hide"] for r in out.collect()} == {1: True, 2: False, 3: False, 4: True}
     assert tuple(model.rescore_summary(out).first()) == (4, 2)
+
+
+def test_amounts_of_a_long_message_lie_where_they_are_printed(spark):
+    parts = [(f"₹ gap {'x' * (i % 7)} Rs.", f"{i}.50") for i in range(1, 1500)]
+    body = "".join(gap + printed for gap, printed in parts)
+    row = spark.createDataFrame([(body,), ("none here",), ("",)], "body string")
+    found = row.select(alerts.amount_hits(F.col("body")).alias("hits")).collect()
+    assert [r["hits"] for r in found[1:]] == [[], []]
+    hits, at = {(h["end"], h["minor"]) for h in found[0]["hits"]}, 0
+    for i, (gap, printed) in enumerate(parts, 1):
+        at += len(gap) + len(printed)
+        assert (at, i * 100 + 50) in hits
