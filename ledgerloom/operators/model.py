@@ -7,6 +7,7 @@ executors; training is ``spark.ml`` on the same columns.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,17 +19,27 @@ from ledgerloom.functions.text import blank_to_null
 
 FEATURE_NAMES = [name for name, _, _ in V.CLASSIFIER_FEATURES]
 
+#: Texts of which every match of a feature's pattern holds one; a pattern that is plain words is its own.
+NEEDED = {
+    "ref_utr": ("ref", "utr", "rrn", "txn"), "account_mask": ("xx", "x*", "*x", "**"), "available_limit": ("lim",),
+    "remaining_limit": ("limit",), "avl_bal": ("bal",), "due": ("due",), "reward_points": ("reward",),
+    "offer": ("voucher", "coupon", "promo", "offer"), "pre_approved": ("approved",), "inr_rs": ("inr", "rs", "₹"),
+    "two_amounts": ("rs", "inr", "₹", "usd"), "upi_path": ("upi/",), "expiry_offer": ("till", "until", "valid", "expir"),
+    "limit_changed": ("limit",), "usd": ("usd", "dollar"), "unlock_win": ("unlock", "win", "grab", "hurry"),
+} | {name: (m[1],) for name, pattern, _ in V.CLASSIFIER_FEATURES if (m := re.fullmatch(r"\\b([a-z ]+)\\b", pattern))}
+
 
 def feature_flags(body: Column, address: Column) -> dict[str, Column]:
-    """Boolean column per feature, over lower-case text."""
+    """Boolean column per feature, over lower-case text; a pattern is tried only where its needed text occurs."""
     lowered, sender = F.lower(body), F.lower(F.coalesce(address, F.lit("")))
 
     def flag(name: str, pattern: str) -> Column:
-        if name == "two_amounts":
-            return F.regexp_count(lowered, F.lit(pattern)) >= 2
         if name == "sender_bank":
             return sender.rlike(pattern) | lowered.rlike(pattern)
-        return lowered.rlike(pattern)
+        may_match = reduce(lambda a, b: a | b, [lowered.contains(t) for t in NEEDED[name]])
+        if name == "two_amounts":
+            return may_match & (F.regexp_count(lowered, F.lit(pattern)) >= 2)
+        return may_match & lowered.rlike(pattern)
 
     return {name: flag(name, pattern) for name, pattern, _ in V.CLASSIFIER_FEATURES}
 
@@ -46,7 +57,10 @@ BUILT_IN = Coefficients(
 
 
 def probability(body: Column, address: Column, model: Coefficients = BUILT_IN) -> Column:
-    flags = feature_flags(body, address)
+    return _probability(feature_flags(body, address), model)
+
+
+def _probability(flags: dict[str, Column], model: Coefficients) -> Column:
     terms = [
         F.when(flag, model.weights[name]).otherwise(0.0)
         for name, flag in flags.items()
@@ -80,17 +94,45 @@ def augment(training: DataFrame) -> DataFrame:
     return training.withColumn("body", F.explode(F.array("body", swapped)))
 
 
-def split_holdout(training: DataFrame, share: float = 0.25, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def is_held_out(share: float = 0.25, seed: int = 7) -> Column:
     """Stratified hold-out decided by a hash of the row, stable under retries.
 
     The hash is independent of the class, so each class gives the same share. It is MD5, so any engine can tell
     which rows were held out.
     """
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("label").cast("string"), "address", "body"))
-    held = F.conv(F.left(digest, F.lit(8)), 16, 10).cast("bigint") / float(1 << 32) < share
+    return F.conv(F.left(digest, F.lit(8)), 16, 10).cast("bigint") / float(1 << 32) < share
+
+
+def split_holdout(training: DataFrame, share: float = 0.25, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Rows to fit on and rows held out, by ``held`` where the rows tell it."""
+    held = F.col("held") if "held" in training.columns else is_held_out(share, seed)
     return training.filter(~held), training.filter(held)
 
 
+def profiles(labelled: DataFrame) -> DataFrame:
+    """``label, flags, texted, n`` (and ``held``, if given): rows alike in these, counted in one scan of the texts.
+
+    A classifier sees nothing of a message but its flags (bit ``i`` of ``flags`` is feature ``i``), so fitting
+    and evaluating need the counts alone. Rows without a body have no flags (``texted`` is false).
+    """
+    if "flags" in labelled.columns:
+        return labelled
+    found = feature_flags(F.col("body"), F.col("address"))
+    bits = reduce(
+        lambda a, b: a.bitwiseOR(b),
+        [F.when(flag, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, flag in enumerate(found.values())],
+    )
+    rows = labelled.withColumns({"flags": bits, "texted": F.col("body").isNotNull()})
+    return rows.groupBy(*[c for c in ("held",) if c in rows.columns], "label", "flags", "texted").agg(
+        F.count("*").alias("n")
+    )
+
+
+def _profile_flags() -> dict[str, Column]:
+    return {name: F.getbit("flags", F.lit(i)) == 1 for i, name in enumerate(FEATURE_NAMES)}
+
+
 def train(
     training: DataFrame, c: float = 1.5, iterations: int = 400, threshold: float = V.NOT_A_PAYMENT_THRESHOLD
 ) -> Coefficients:
@@ -98,22 +140,24 @@ def train(
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    table = with_features(training)
-    rows = table.count()
+    # Equal rows weigh as many; rows without a body have null features, which raise.
+    flags = {name: F.when(F.col("texted"), flag).cast("double") for name, flag in _profile_flags().items()}
+    table = profiles(training).withColumns(flags)
+    rows = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     vectors = VectorAssembler(inputCols=FEATURE_NAMES, outputCol="features").transform(table)
     fitted = LogisticRegression(
-        featuresCol="features", labelCol="label", maxIter=iterations, elasticNetParam=0.0,
+        featuresCol="features", labelCol="label", weightCol="n", maxIter=iterations, elasticNetParam=0.0,
         regParam=1.0 / (c * rows), standardization=False, tol=1e-8,
-    ).fit(vectors.select("features", F.col("label").cast("double").alias("label")))
+    ).fit(vectors.select("features", F.col("label").cast("double").alias("label"), F.col("n").cast("double").alias("n")))
     weights = dict(zip(FEATURE_NAMES, (float(w) for w in fitted.coefficients), strict=True))
     return Coefficients(weights, float(fitted.intercept), threshold)
 
 
 def evaluate(labelled: DataFrame, model: Coefficients) -> DataFrame:
     """Per class: precision, recall, f1, support; plus overall accuracy."""
-    predicted = (probability(F.col("body"), F.col("address"), model) >= 0.5).cast("int")
-    cells = labelled.withColumn("predicted", predicted).groupBy("label", "predicted").agg(
-        F.count("*").alias("n")
+    predicted = (_probability(_profile_flags(), model) >= 0.5).cast("int")
+    cells = profiles(labelled).withColumn("predicted", predicted).groupBy("label", "predicted").agg(
+        F.sum("n").alias("n")
     )
     per_class = cells.select(
         F.explode(

@@ -3,8 +3,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom import fixed_values as V
 from ledgerloom.operators import alerts, model
 from ledgerloom.schemas import MESSAGES_SCHEMA
+from ledgerloom.session import stage_table
 
 AT = dt.datetime(2026, 9, 30, 8, 0)
 
@@ -98,6 +100,59 @@ def test_training_separates_classes(spark):
     assert report["accuracy"]["recall"] == 1.0 and report["1"]["support"] == 80
 
 
+def test_training_reads_the_texts_once(spark):
+    rows = [(f"INR {i}.00 debited A/c no. XX4410 UPI/P2M/57721566{i:04d}/STORE", "AX-AXISBK", 0) for i in range(40)]
+    rows += [(f"Grab Rs {i} off. Coupon SAVE{i}. Limited period offer.", "LM-X", 1) for i in range(40)]
+    rows += [("Your OTP is 1", None, 1), ("Your OTP is 1", None, 0)] * 3
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(rows, "body string, address string, label int")
+    seen = df.mapInArrow(counted, df.schema)
+    table = stage_table(model.profiles(seen.withColumn("held", model.is_held_out())), "profiles")
+    fit, held = model.split_holdout(table)
+    learned = model.train(fit)
+    reports = [{r["class"]: tuple(r) for r in model.evaluate(t, learned).collect()} for t in (held, table)]
+    assert read.value == len(rows)
+    # Counted rows give what the rows themselves give.
+    fit, held = model.split_holdout(df)
+    plain = model.train(fit)
+    assert reports == [{r["class"]: tuple(r) for r in model.evaluate(t, plain).collect()} for t in (held, df)]
+    # The weights of the same fit on single vectors.
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    single = VectorAssembler(inputCols=model.FEATURE_NAMES, outputCol="features").transform(model.with_features(fit))
+    fitted = LogisticRegression(
+        maxIter=400, regParam=1.0 / (1.5 * fit.count()), standardization=False, tol=1e-8
+    ).fit(single.select("features", F.col("label").cast("double").alias("label")))
+    for name, weight in zip(model.FEATURE_NAMES, fitted.coefficients, strict=True):
+        assert abs(learned.weights[name] - weight) < 1e-3
+    assert abs(learned.bias - fitted.intercept) < 1e-3
+
+
+def test_needed_texts_hide_no_match(spark):
+    texts = [
+        "upi  ref 1", "UTR", "rrn", "reference no", "txnn id", "a/c no. x*12", "acct **34", "account xxx77", "avl credit lim",
+        "avail limit", "unused credit limit", "avbl balance", "min due", "due date", "reward point", "promotional", "voucher", "coupon",
+        "promo", "offer", "pre-approved", "preapproved", "₹ 5", " ₹ ", "inr", "rs.", "usd 1 ₹2", "rs1inr2", "upi/a1/2", "until", "till",
+        "valid", "expires", "limit  has been", "limit revised", "dollars", "usd", "unlock", "win", "grab", "hurry", "will be credited",
+        "credit card", "not you", "payment of", "using your", "received from", "hdfc", "", "İNR", None,
+    ] + [name.replace("_", " ") for name in model.FEATURE_NAMES]
+    rows = spark.createDataFrame([(t, a) for t in texts for a in ("AX-X", None)], "body string, address string")
+    plain = {n: F.lower("body").rlike(p).alias(n) for n, p, _ in V.CLASSIFIER_FEATURES}
+    plain["two_amounts"] = (F.regexp_count(F.lower("body"), F.lit(dict((n, p) for n, p, _ in V.CLASSIFIER_FEATURES)["two_amounts"])) >= 2).alias("two_amounts")
+    found = model.feature_flags(F.col("body"), F.col("address"))
+    names = [n for n in model.FEATURE_NAMES if n != "sender_bank"]
+    assert rows.select(*[plain[n] for n in names]).collect() == rows.select(*[found[n].alias(n) for n in names]).collect()
+    hit = rows.agg(*[F.bool_or(found[n]).alias(n) for n in names]).first().asDict()
+    assert all(hit.values()), hit
+
+
 def test_rescore(spark):
     ledger = spark.createDataFrame(
         [
