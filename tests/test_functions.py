@@ -33,6 +33,11 @@ def test_merchant_key_and_name(one_value):
     ]
 
 
+def test_removed_words_leave_single_blanks(one_value):
+    names = [" upi SHOP to  to X", "to", "SHOP TO", "A upi B ref C", "X 12 Y AB345678 Z", "", " ", "UPI", "upi-upi-Shop-upi", None]
+    assert one_value(text.merchant_words, names) == ["SHOP X", "", "SHOP", "A B C", "X Y Z", "", "", "", "SHOP", None]
+
+
 def test_account(one_value):
     assert one_value(text.account_tail, ["A/c XXXXXX1234", "50100123451234", "XX1", "savings", None]) == [
         "1234", "1234", None, None, None,

@@ -80,3 +80,19 @@ def test_amounts_without_a_digit_or_a_pattern(one_value):
     assert one_value(money.minor_units, ["Rs.", "rs.5", "--", "", None, "₹٣"]) == [None, 500, None, None, None, None]
     found = one_value(lambda b: F.transform(alerts.amount_hits(b), lambda h: h["minor"]), ["no amount", "Rs.5 or $7", "", None])
     assert found == [[], [500, 700], [], None]
+
+
+def test_provenance_writes_its_rows_once_before_the_result(spark, sf_dir, monkeypatch):
+    from ledgerloom.plans import identity_queries
+
+    written, plain = [], identity_queries.stage_table
+    monkeypatch.setattr(identity_queries, "stage_table", lambda df, purpose: written.append(purpose) or plain(df, purpose))
+    assert identity_queries.provenance(spark, sf_dir).count() > 0
+    assert written == ["normalised"]
+
+
+def test_copies_share_what_an_order_tells(spark, sf_dir):
+    from ledgerloom.sources import driver_tables as D
+
+    plan = D.copies(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 2  # the name and its handle, not one for every copy
