@@ -30,7 +30,7 @@ def ingest(store: LedgerStore, parsed: DataFrame, run: str, epoch: int) -> bool:
         rows = resolve.with_reference_fallback(rows, older)
     rows = arrival.numbered(stage_table(rows, "batch"), store.next_seq())
     before = store.state(rows)
-    result = resolve.resolve(rows, before, numbered=True)
+    result = resolve.with_outcomes_written(resolve.resolve(rows, before, numbered=True))
     messages = F.col("source") == "SMS"
     labelled = result.outcomes.withColumn(
         "file_name", F.when(messages, V.MESSAGES_BATCH_NAME).otherwise(F.col("origin_label"))

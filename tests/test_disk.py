@@ -4,10 +4,13 @@ import datetime as dt
 import os
 import random
 
+from pyspark.sql import functions as F
+
 from ledgerloom.operators import resolve
 from ledgerloom.operators.normalise import normalise
 from ledgerloom.schemas import PARSED_SCHEMA
 from ledgerloom.session import Scratch, stage_table, staged_in_passes
+from ledgerloom.sources.store import LedgerStore
 
 
 def _rows(spark, n=40):
@@ -57,3 +60,21 @@ def test_scratch_tables_go_when_they_are_not_read_any_more(spark):
         scratch.discard("one")
         assert not os.path.exists(one) and two.count() == 4
     assert not os.path.exists(other)
+
+
+def test_compaction_leaves_other_tables_where_they_lie(spark, tmp_path):
+    store = LedgerStore(spark, str(tmp_path / "s"))
+    result = resolve.resolve(_rows(spark), pass_rows=9)
+    history = resolve.import_summary(result.outcomes.withColumnRenamed("origin_label", "file_name"), "file_name", "source")
+    assert result.passes > 1 and store.append(result, history, "run", 0)
+    tables = {t: _all(getattr(store, t)().drop("batch_id")) for t in ("ledger", "sources", "outcomes", "history")}
+    assert tables["ledger"] == _all(result.ledger) and tables["sources"] == _all(result.sources)
+    files = set(store.sources().inputFiles())
+    # What a batch left without a commit does not come back with the next generation.
+    store._write("sources", store.sources().withColumn("seq", F.col("seq") + 1000), 0, 1)
+    store.compact()
+    assert store.head().generation == 1 and set(store.sources().inputFiles()) == files
+    assert {t: _all(getattr(store, t)().drop("batch_id")) for t in tables} == tables
+    assert not os.path.exists(f"{store.root}/sources/generation=1")
+    store.reset()
+    assert store.sources().count() == 0
